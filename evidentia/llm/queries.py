@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
+from .language import identify_language, language_profiles
 from .mixing import mix_sources
 from .pieces import encode_digests
+from .toxicity import learn_toxicity, score_toxicity
 
 
 def piece_model() -> str:
@@ -27,14 +31,33 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_toxicity(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    return score_toxicity(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1)
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_profiles(docs, crc_mod("doc_id", 4) != 2)
+    return identify_language(docs, profiles).withColumn("held_out", crc_mod("doc_id", 4) == 2)
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op7_pieces": op7_pieces,
+    "op9_language": op9_language,
+    "op10_html": op10_html,
 }
 
 ORACLES: dict[str, str] = {}
