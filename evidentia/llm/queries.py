@@ -12,7 +12,9 @@ from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .language import identify_language, language_profiles
 from .mixing import mix_sources
+from .personal_data import span_digests
 from .pieces import encode_digests
+from .quality import quality
 from .toxicity import learn_toxicity, score_toxicity
 
 
@@ -27,6 +29,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language_profiles(docs, crc_mod("doc_id", 4) != 2)
@@ -53,9 +63,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_personal_data": op3_personal_data,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op7_pieces": op7_pieces,
+    "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_html": op10_html,
 }
