@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import crc_mod, table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .language import identify_language, language_profiles
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .personal_data import span_digests
 from .pieces import encode_digests
 from .quality import quality
@@ -43,6 +43,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, similarity=(9, 10))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_personal_data": op3_personal_data,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_pieces": op7_pieces,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
