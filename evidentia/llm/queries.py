@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import crc_mod, table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .katz import katz_scores
 from .language import identify_language, language_profiles
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -29,6 +30,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_katz": op2_katz,
     "op3_personal_data": op3_personal_data,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
