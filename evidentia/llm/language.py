@@ -126,18 +126,19 @@ def identify_language(docs: DataFrame, profiles: dict[str, list[int]], id_col: s
     return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def with_language(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """The input rows whose language can be told, with all their columns; a text without a letter goes.
+def with_language(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", lang_col: str = "lang", least_score: float = 0.0) -> DataFrame:
+    """The input rows whose language can be told, with all their columns and ``lang_col`` set to what was told.
 
-    ``least_score`` also drops texts whose two nearest languages are about as near.
+    A null text and one without a letter go.  ``least_score`` also drops texts
+    whose two nearest languages are about as near.
     """
+    import pandas as pd
 
-    @F.pandas_udf("boolean")
-    def told(texts):
-        import pandas as pd
-
+    @F.pandas_udf("string")
+    def told(texts: pd.Series) -> pd.Series:
         model = Profiles(profiles)
         said = [model.predict(t) for t in texts]
-        return pd.Series([lang != "und" and score >= least_score for lang, score in said])
+        return pd.Series([lang if lang != "und" and score >= least_score else None for lang, score in said], dtype=object)
 
-    return docs.where(told(whole(F.col(text_col))))
+    # Not to be asked twice, once for the condition and once for the column.
+    return docs.withColumn(lang_col, told.asNondeterministic()(whole(F.col(text_col)))).where(F.col(lang_col).isNotNull())
