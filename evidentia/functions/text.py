@@ -8,26 +8,27 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that carry no meaning of their own.
 STOPWORDS = ("a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with", "at")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode composition, for which Spark has no function."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(texts: pd.Series) -> pd.Series:
     """Full case folding; ``lower`` leaves a sharp s."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t).casefold(), na_action="ignore")
 
 
 def composed(text: Column) -> Column:
-    """NFC, where the detour through Python is taken only for texts that are not plain ASCII."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), nfc(text)).otherwise(text)
+    """NFC; texts that are plain ASCII, which it leaves alone, go to Python as null."""
+    return F.coalesce(nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def collapse(text: Column) -> Column:

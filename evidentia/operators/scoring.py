@@ -21,11 +21,11 @@ def component_mean(cells: Sequence[str | Column]) -> Column:
 
 
 def top_breadth(cells: Sequence[str | Column], top: int = 3, least: float = 0.02, exponent: float = 1.0) -> Column:
-    """AGG-9: mean of the best ``top`` cells times the share of cells above ``least``, to a power."""
+    """AGG-9: mean of the best ``top`` cells times the share of those above ``least``, to a power."""
     xs = F.array(*(F.col(c) if isinstance(c, str) else c for c in cells))
     best = F.slice(F.sort_array(xs, False), 1, top)
     mean = F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.lit(float(min(top, len(cells))))
-    share = F.size(F.filter(xs, lambda x: x > least)) / F.lit(float(len(cells)))
+    share = F.size(F.filter(best, lambda x: x > least)) / F.lit(float(min(top, len(cells))))
     return mean * (share if exponent == 1.0 else F.pow(share, F.lit(float(exponent))))
 
 

@@ -284,8 +284,8 @@ def q25(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q47_component_score_breakdown",
     f"""WITH {_FEATURES_SQL}, c AS (SELECT *, list_sort([f_spend, f_orders, f_recent, f_prompt, f_balance], 'DESC') AS s FROM feats)
-    SELECT c_custkey, round((s[1] + s[2] + s[3]) / 3 * len(list_filter(s, lambda x: x > 0.02)) / 5.0, 6) AS breadth, round((f_recent + f_prompt) / 2, 6) AS timing,
-        round(0.5 * ((s[1] + s[2] + s[3]) / 3 * len(list_filter(s, lambda x: x > 0.02)) / 5.0) + 0.3 * ((f_recent + f_prompt) / 2) + 0.2 * f_balance, 6) AS base FROM c""",
+    SELECT c_custkey, round((s[1] + s[2] + s[3]) / 3 * len(list_filter(s[1:3], lambda x: x > 0.02)) / 3.0, 6) AS breadth, round((f_recent + f_prompt) / 2, 6) AS timing,
+        round(0.5 * ((s[1] + s[2] + s[3]) / 3 * len(list_filter(s[1:3], lambda x: x > 0.02)) / 3.0) + 0.3 * ((f_recent + f_prompt) / 2) + 0.2 * f_balance, 6) AS base FROM c""",
 )
 def q47(spark: SparkSession, d: str) -> DataFrame:
     cells = ["f_spend", "f_orders", "f_recent", "f_prompt", "f_balance"]
