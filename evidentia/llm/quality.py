@@ -38,7 +38,7 @@ def default_rules() -> list[Rule]:
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
     return [
         Rule("symbols", F.col("n_symbols") > 0.3 * words),
-        Rule("word_length", ~(F.col("word_chars") / words).between(2.0, 15.0)),
+        Rule("word_length", ~F.col("word_chars").between(2 * words, 15 * words)),
         Rule("repeated_lines", F.col("n_dup_lines") > 0.3 * F.size(F.split(text, "\n"))),
         Rule("shouting", F.regexp_count(text, F.lit(r"\p{Lu}")) > 0.5 * letters),
         Rule("exclamations", F.regexp_count(text, F.lit("!")) > 0.3 * words),
