@@ -46,10 +46,10 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _unmask(m: re.Match) -> str:
-    """A word with digits or signs in it; numbers and codes, which have more of them than letters, stay."""
+    """A word with digits or signs in it; codes, which are longer and have more of them than letters, stay."""
     word = m[0].rstrip("@$")
     letters = sum(c.isalpha() for c in word)
-    return word.translate(SUBSTITUTES) if 2 <= letters > len(word) - letters else word
+    return word.translate(SUBSTITUTES) if letters >= 2 and (letters > len(word) - letters or len(word) <= 6) else word
 
 
 def fold(text: str) -> list[str]:
