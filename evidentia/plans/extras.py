@@ -153,14 +153,15 @@ def r03(spark: SparkSession, d: str) -> DataFrame:
 @query("q38_reject_table")
 def q38(spark: SparkSession, d: str) -> DataFrame:
     """Reject reasons of lines of which some are spoiled on purpose."""
-    from evidentia.sources.records import ingest, parse_records
+    from evidentia.sources.records import parse_records
 
     n = load(spark, d, "customer").count()
     good = record_pool(spark, n).withColumns({"certifications": F.array().cast("array<struct<name:string,issuer:string,year:int>>"), "languages": F.array().cast("array<struct<language:string,proficiency:string>>")})
-    line = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    good = good.select("candidate_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line")).repartition("candidate_id")
+    line = F.col("line")
     k = F.col("candidate_id").substr(6, 7).cast("long")
     spoiled = F.when(k % 50 == 1, F.substring(line, 1, 40)).when(k % 50 == 2, F.lit("[1, 2]")).when(k % 50 == 3, F.regexp_replace(line, "^\\{", '{"extra":1,')).when(k % 50 == 4, F.replace(line, F.lit('"candidate_id":"CAND_'), F.lit('"candidate_id":"X_'))).when(k % 50 == 5, F.regexp_replace(line, '"years_of_experience":[0-9.]+', '"years_of_experience":77.0')).otherwise(line)
     lines = good.select(F.lit("pool").alias("file"), (k + 1).alias("line_no"), k.alias("source_index"), spoiled.alias("line"))
     # The exchange keeps the long expression of a line from being put in wherever the line is read.
     lines = lines.repartition("line_no")
-    return ingest(parse_records(lines)).groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+    return parse_records(lines).groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))

@@ -142,3 +142,32 @@ def q36c(spark: SparkSession, d: str) -> DataFrame:
 def q37(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     return P.first_wins(docs, ["h"], ["doc_id"]).select("doc_id", "h")
+
+
+_TERMS, _PHRASES = ["the", "ing", "der", "tion", "la", "para"], ["of the", "in the", "en la", "de la"]
+
+
+@query(
+    "q58_lexicon_match",
+    f"WITH h AS (SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), {_TERMS})) AS t, {' + '.join(f'CASE WHEN contains(lower(text), {chr(39)}{p}{chr(39)}) THEN 1 ELSE 0 END' for p in _PHRASES)} AS p FROM documents) SELECT doc_id, CAST(t AS INTEGER) AS terms, CAST(p AS INTEGER) AS phrases, round(least(1.0, ln(1 + t + p) / ln(5.0)), 6) AS score FROM h",
+)
+def q58(spark: SparkSession, d: str) -> DataFrame:
+    hit = L.lexicon_match(load(spark, d, "documents"), "text", _TERMS, _PHRASES)
+    return hit.select("doc_id", F.size("terms_hit").alias("terms"), F.size("phrases_hit").alias("phrases"), F.round("lexicon_score", 6).alias("score"))
+
+
+@query("q59_canonicalise", "SELECT canonical, count(*) AS n FROM (SELECT coalesce(m.c, lower(trim(o_orderpriority))) AS canonical FROM orders LEFT JOIN (VALUES ('1-urgent', 'urgent'), ('2-high', 'urgent'), ('5-low', 'low')) m(s, c) ON lower(trim(o_orderpriority)) = m.s) GROUP BY 1")
+def q59(spark: SparkSession, d: str) -> DataFrame:
+    mapping = spark.createDataFrame([("1-urgent", "urgent"), ("2-high", "urgent"), ("5-low", "low")], "surface string, canonical string")
+    return L.canonicalise(load(spark, d, "orders"), "o_orderpriority", mapping).groupBy(F.col("o_orderpriority_canonical").alias("canonical")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "q60_template_priorities",
+    """WITH t(template, feature) AS (VALUES ('a', 'f1'), ('a', 'f2'), ('b', 'f3'), ('c', 'f9')), i AS (SELECT 'f' || n_regionkey AS feature, round(avg(n_nationkey), 4) AS importance FROM nation GROUP BY 1)
+    SELECT template, coalesce(max(importance), 0.0) AS priority, coalesce(bool_or(feature = 'f2'), false) AS gold_supported FROM t LEFT JOIN i USING (feature) GROUP BY 1""",
+)
+def q60(spark: SparkSession, d: str) -> DataFrame:
+    templates = spark.createDataFrame([("a", "f1"), ("a", "f2"), ("b", "f3"), ("c", "f9")], "template string, feature string")
+    importances = load(spark, d, "nation").groupBy(F.concat(F.lit("f"), F.col("n_regionkey").cast("string")).alias("feature")).agg(F.round(F.avg("n_nationkey"), 4).alias("importance"))
+    return L.template_priorities(templates, importances, spark.createDataFrame([("f2",)], "feature string"))

@@ -133,9 +133,11 @@ def ingest(records: DataFrame, policy: str = "skip") -> DataFrame:
 
     Only ids and places go through the shuffle that finds repeats.
     """
-    good = records.where("reject_reason is null").select(F.col("record.candidate_id").alias("id"), "file", "line_no")
-    first = good.groupBy("id").agg(F.min(F.struct("file", "line_no")).alias("first"))
-    keyed = records.withColumn("__id", F.col("record.candidate_id")).join(first.withColumnRenamed("id", "__id"), "__id", "left")
+    # The id straight from the line: taken out of the record it would carry all reject conditions into the join's key.
+    own = F.trim(F.get_json_object("line", "$.candidate_id"))
+    good = records.where("reject_reason is null").select(own.alias("__id"), "file", "line_no")
+    first = good.groupBy("__id").agg(F.min(F.struct("file", "line_no")).alias("first"))
+    keyed = records.withColumn("__id", own).join(first, "__id", "left")
     repeat = F.col("reject_reason").isNull() & ((F.col("first.file") != F.col("file")) | (F.col("first.line_no") != F.col("line_no")))
     reason = F.when(repeat, "DUPLICATE_ID").otherwise(F.col("reject_reason"))
     out = keyed.withColumn("reject_reason", reason).withColumn("record", F.when(F.col("reject_reason").isNull(), F.col("record"))).drop("__id", "first")
