@@ -17,7 +17,7 @@ All tables between the steps (chunks, vocabulary, n-grams of each chunk, counted
 n-grams) are partitioned tables in the shared folder; nothing that grows with
 the corpus goes through the driver, except one number for each distinct word
 count (at most the root of twice the number of tokens) and a few for each
-spread history (eight a bucket).
+spread history (eight a bucket at most).
 """
 
 from __future__ import annotations
@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import shuffle_partitions, stored, whole
-from .packing import pack, unpack
+from .packing import give_back, pack, unpack
 from .shingles import word_hashes
 
 CHUNK_TOKENS = 1_000_000
 #: Tokens that a bucket of n-grams has, about.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 #: Counts above this are not discounted.
 K = 5
 #: What the base adds to each count.
@@ -98,6 +98,7 @@ class Classes:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
     part, no = TaskContext.get().partitionId(), 0
     ids: list = []
     train: list[bool] = []
@@ -122,6 +123,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield flush()
                 no, size = no + 1, 0
                 ids, train, tokens = [], [], []
+                give_back()
     if ids:
         yield flush()
 
@@ -204,6 +206,7 @@ def _pairs(classes: Classes, buckets: int, hot: int):
     """Each chunk's pairs by bucket (with the texts that have them), and a row with bucket -1 with what its texts have of their own."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         rows = table.to_pylist()
         own = next(r for r in rows if r["tokens"] is not None)
         numbers = np.concatenate([unpack(r["numbers"]) for r in sorted((r for r in rows if r["numbers"] is not None), key=lambda r: r["bucket"])])
@@ -248,6 +251,7 @@ def _history_sums(u: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple[np.ndarr
 
 def _count_pairs(classes: Classes, hot: int):
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         key = np.concatenate([_key(unpack(u), unpack(v)) for u, v in zip(table["history"].to_pylist(), table["next"].to_pylist(), strict=True)])
         n = np.concatenate([unpack(x) for x in table["learned"].to_pylist()])
         key, n = key[n > 0], n[n > 0]
@@ -283,6 +287,7 @@ def backoff(sums: np.ndarray, count: np.ndarray, d: np.ndarray) -> tuple[np.ndar
 
 def _score_pairs(classes: Classes, d: np.ndarray, hot: int, hot_weights: dict[int, tuple[float, float]]):
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         rows = table.to_pylist()
         keys = c = np.empty(0, np.int64)
         for r in rows:
@@ -377,7 +382,8 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     # Pairs, in buckets by history.  The numbers of the most frequent histories are the smallest.
     all_tokens = classes.tokens / max(train_texts, 1) * max(texts.count(), 1)
     buckets = int(max(shuffle_partitions(spark), 16, all_tokens // BUCKET_TOKENS))
-    hot = max(1024, 8 * buckets)
+    # Spread: histories that would take up more than an eighth of a bucket; there are eight a bucket at most, and far fewer in a text.
+    hot = int(classes.start[np.count_nonzero(classes.count > classes.tokens // (8 * buckets))])
     none = F.lit(None)
     left = chunks.df.select("chunk", "ids", "train", "lengths", "tokens", none.cast("int").alias("bucket"), none.cast("binary").alias("numbers"))
     right = numbered.select("chunk", none.cast("array<long>").alias("ids"), *(none.cast("binary").alias(c) for c in ("train", "lengths", "tokens")), "bucket", "numbers")
