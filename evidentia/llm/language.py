@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,8 +133,6 @@ def with_language(docs: DataFrame, profiles: dict[str, list[int]], text_col: str
     A null text and one without a letter go.  ``least_score`` also drops texts
     whose two nearest languages are about as near.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def told(texts: pd.Series) -> pd.Series:
         model = Profiles(profiles)
