@@ -25,6 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Stored, stored, whole
 from .components import components
@@ -48,7 +49,7 @@ def least_overlap(n: int, num: int, den: int) -> int:
 def shared_needed(na: Column, nb: Column, pa_: Column, pb: Column, num: int, den: int) -> Column:
     """Shared prefix shingles without which two sets can't be similar.
 
-    They must share ceil(num (na + nb) / (num + den)).  Of the set whose prefix ends first in the
+    They must share ceil(num (na + nb) / (num + den)).  Of the set whose counted prefix ends first in the
     global order, at most n - p shared shingles lie beyond its prefix; all others are in both prefixes.
     """
     need = F.floor((num * (na + nb) + (num + den - 1)) / (num + den))
@@ -145,12 +146,13 @@ def _prefixes(width: int, sketch, num: int, den: int, noise: float):
             if rows:
                 n = [len(r[0]) for r in rows]
                 long = lambda k: pa.array(np.repeat(np.array([-1 if r[k] is None else r[k] for r in rows], np.int64), n))  # noqa: E731, B023
-                yield pa.record_batch([pa.array(np.concatenate([r[0] for r in rows])), long(1), long(2), long(3), long(4)], names=["shingle", "cls", "doc", "n", "p"])
+                yield pa.record_batch([pa.array(np.concatenate([r[0] for r in rows])), long(1), long(2), long(3), long(4), pa.array(np.concatenate([np.arange(k) for k in n]))], names=_LIST)
 
     return run
 
 
-_LIST = ["shingle", "cls", "doc", "n", "p"]
+#: A shingle of a class's prefix: the class, one of its documents, its size, its prefix's length, and the shingle's place in the prefix.
+_LIST = ["shingle", "cls", "doc", "n", "p", "pos"]
 
 
 def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -190,29 +192,45 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(v) for v in columns.values()], names=list(columns))
 
 
+def _index_prefix(n, p, num: int, den: int):
+    """How much of its prefix the smaller set of a pair needs: with a set of its own size or more it must share 2 num n / (num + den)."""
+    multi = p - (n - -(-num * n // den))
+    return np.minimum(p, n - -(-2 * num * n // (num + den)) + multi)
+
+
 def _apart(num: int, den: int, block: int = 512):
-    """Pairs of classes of one list that are in different components and of such sizes that they can be similar."""
+    """Pairs of classes of one list that are in different components and can be similar by their sizes and the shingle's places.
+
+    The smaller class (of equals, the one with the smaller number) meets others by its index prefix only.
+    ``before`` counts the shingles of the prefix before this one that any other class's prefix has.  No other
+    one can be common to both sets, so there is room for min(before, before) common ones in front and
+    for as many behind as the shorter rest has; where that is too little the sets are not similar.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _whole_lists(batches):
             starts = np.flatnonzero(np.r_[True, x["shingle"][1:] != x["shingle"][:-1]])
-            for a, b in zip(starts, np.r_[starts[1:], len(x["shingle"])], strict=True):
-                comp, n = x["comp"][a:b], x["n"][a:b]
+            for s, e in zip(starts, np.r_[starts[1:], len(x["shingle"])], strict=True):
+                comp, n = x["comp"][s:e], x["n"][s:e]
                 if (comp == comp[0]).all():
                     continue
-                # By size: only the next few are large enough, or small enough.
-                order = np.argsort(n, kind="stable")
-                comp, n, cls, p = comp[order], n[order], x["cls"][a:b][order], x["p"][a:b][order]
+                # By size: only the next few are small enough.
+                order = np.lexsort((x["cls"][s:e], n))
+                comp, n, cls, p, pos, before = (x[c][s:e][order] for c in ("comp", "n", "cls", "p", "pos", "before"))
+                k = _index_prefix(n, p, num, den)
                 upto = np.searchsorted(n, n * den // num, side="right")
-                for i in range(0, len(n), block):
-                    j = min(i + block, len(n))
-                    top = int(upto[i:j].max())
-                    one, other = np.nonzero((comp[i:j, None] != comp[None, i:top]) & (np.arange(i, j)[:, None] < np.arange(i, top)[None, :]) & (np.arange(i, top)[None, :] < upto[i:j, None]))
-                    if len(one):
-                        one, other = one + i, other + i
-                        swap = cls[one] > cls[other]
-                        left, right = np.where(swap, other, one), np.where(swap, one, other)
-                        yield pa.record_batch([pa.array(v) for v in (cls[left], cls[right], n[left], n[right], p[left], p[right])], names=["a", "b", "na", "nb", "pa", "pb"])
+                small = np.flatnonzero(pos < k)
+                for i in range(0, len(small), block):
+                    one = small[i : i + block]
+                    top = int(upto[one].max())
+                    other = np.arange(one[0], top)
+                    n1, n2, p1, p2 = n[one, None], n[None, other], pos[one, None], pos[None, other]
+                    room = np.minimum(before[one, None], before[None, other]) + np.minimum(n1 - p1, n2 - p2)
+                    meets = (comp[one, None] != comp[None, other]) & (other[None, :] > one[:, None]) & (other[None, :] < upto[one, None]) & (room * (num + den) >= num * (n1 + n2))
+                    left, right = np.nonzero(meets)
+                    if len(left):
+                        left, right = one[left], other[right]
+                        yield pa.record_batch([pa.array(v) for v in (cls[left], cls[right], n[left], n[right], k[left], p[right])], names=["a", "b", "na", "nb", "pa", "pb"])
 
     return run
 
@@ -269,7 +287,7 @@ def _links(texts: DataFrame, pairs: DataFrame, width: int, num: int, den: int, l
     """Those of the pairs (a, b) that are similar, by their whole sets."""
     spark = texts.sparkSession
     held = stored(pairs.select("a", "b"), f"{label}-pairs")
-    wanted = held.df.select(F.explode(F.array("a", "b")).alias("cls"))
+    wanted = held.df.select(F.col("a").alias("cls")).distinct().union(held.df.select(F.col("b").alias("cls")).distinct()).distinct()
     bits = np.zeros(1 << (_BLOOM_BITS - 3), np.uint8)
     # A Bloom filter has a fixed size, however many classes there are; what it lets through too much, the joins drop.
     for r in wanted.coalesce(4).mapInArrow(_bloom, "bits binary").collect():
@@ -320,7 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = stored(components(links, "a", "b"), "star-components").df
 
     # The rest: pairs that are still apart.
-    parted = lists.df.select(*_LIST).join(joined, lists.df["cls"] == joined["node"], "left").select(*_LIST, F.coalesce("component", "cls").alias("comp"))
+    parted = lists.df.select(*_LIST).join(joined, lists.df["cls"] == joined["node"], "left").select("shingle", "cls", "n", "p", "pos", (F.row_number().over(Window.partitionBy("cls").orderBy("pos")) - 1).cast("long").alias("before"), F.coalesce("component", "cls").alias("comp"))
     pair_schema = "a long, b long, na long, nb long, pa long, pb long"
     pairs = parted.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_apart(num, den), pair_schema).groupBy("a", "b").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("na", "nb", "pa", "pb")))
     rest = _links(texts, pairs.where(F.col("shared") >= shared_needed(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), num, den)), width, num, den, "rest")
