@@ -1,13 +1,14 @@
 """The main text of web pages by line-block distribution.
 
 Markup is stripped and the page becomes lines: every block element starts a
-new one, and where a part of the page's frame stands (navigation, forms and the
-like, which are taken out whole) or a section begins or ends, empty lines
-stand.  The text lengths of each window of WINDOW lines are summed.  A surge is
-where the sums rise from zero, a dive where they fall back to zero; text
-between the two is one region.  Regions in the page's article are kept, and
-where a page marks none, those that reach the peak a main text has and consist
-of text more than of links.
+new one, an empty line stands where a section begins or ends, and WINDOW of
+them where a part of the page's frame (navigation, forms and the like) was
+taken out.  Where a page marks an article, its lines are the text.  Elsewhere
+the text lengths of each window of WINDOW lines are summed, without links.  A surge is where the sums first reach the peak a main text has, a dive
+where they last do; a page that never reaches it has its highest sum for a peak.
+Between the two all is kept but blocks of links.  Before the surge and after the
+dive what is marked as prose (headings, paragraphs, items, whole sentences)
+is kept as well.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import whole
 
-#: Lines in a window; the empty lines between regions are as many, so that the sums fall to zero.
+#: Lines in a window.
 WINDOW = 3
-#: Characters that a window of main text has at its peak, where no article is marked.
+#: Characters that a window of main text has at its peak.
 PEAK = 80
-#: Part of a region that may be link text.
+#: Part of a block that may be link text.
 LINKS = 0.5
 
 # Elements by their role in HTML.
@@ -36,43 +37,56 @@ _MAIN = {"article", "main"}
 _SECTION = {"html", "head", "body", "section", "div", "table", "article", "main"}
 _BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "figure", "figcaption", "address", "hr", "br", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "details", "summary", "center", "hgroup", "option"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|footer|sidebar|aside|ad|ads|advert|adverts|advertisement|adbox|banner|sponsor|sponsored|promo|cookie|cookies|consent|notice|alert|popup|modal|newsletter|subscribe|"
-    r"signup|login|search|share|social|related|recommended|breadcrumb|breadcrumbs|pagination|comment|comments|disqus|respond|complementary|contentinfo|copyright|widget|toolbar)s?(?:$|[\s_-])",
-    re.I,
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_PROSE = _HEADING | {"p", "li", "dt", "dd", "pre", "blockquote", "figcaption", "address", "td", "th", "caption"}
+_ENDS = tuple(".!?…:;。！？\"»”)")
+# Start tags that imply an end tag, and what such an end does not reach beyond.
+_CLOSED_BY = {"p": (_BLOCK | _SECTION | _FRAME) - {"br", "button", "label", "option"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
+_HOLD = (_SECTION | _FRAME | {"ul", "ol", "dl", "blockquote", "td", "th", "figure", "details"}) - {"button", "label"}
+# Names of frame parts, and words that may stand beside them in a name.
+_NAMES = frozenset(
+    "nav navbar navigation menu header footer sidebar aside ad advert advertisement adbox banner sponsor sponsored promo cookie notice alert popup modal newsletter subscribe consent "
+    "signup login search share social related recommended breadcrumb pagination comment disqus respond complementary contentinfo copyright widget toolbar".split()
 )
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_BESIDE = frozenset("site page top bottom left right main primary secondary global sticky mobile desktop google box bar list link button section area block unit slot container wrapper wrap inner form".split())
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(?:>|\Z)""", re.S)
 
 
-def _lines(page: str) -> list[tuple[str, int, bool]]:
-    """Lines with their text, how many characters of it are links, and whether an article holds them."""
-    lines: list[tuple[str, int, bool]] = []
-    parts: list[str] = []
-    open_: list[tuple[str, bool]] = []  # elements that can hold sections, and whether each is part of the frame
-    linked = frame = main = links = 0
+def _is_frame_name(name: str) -> bool:
+    """Whether a class, id or role is the whole name of a part of the frame: has-sidebar and entry-header are none."""
+    parts = [x for x in re.split(r"[-_]", name.lower()) if x and not x.isdigit()]
+    known = [x in _NAMES or x[-1:] == "s" and x[:-1] in _NAMES for x in parts]
+    return any(known) and all(k or x in _BESIDE or x[-1:] == "s" and x[:-1] in _BESIDE for k, x in zip(known, parts, strict=True))
 
-    def end_line() -> None:
-        nonlocal linked
-        if text := " ".join("".join(parts).split()):
-            lines.append((text, linked, main > 0))
-        parts.clear()
-        linked = 0
 
-    def gap() -> None:
-        end_line()
-        if lines and lines[-1][0]:
-            lines.extend([("", 0, False)] * WINDOW)
+def _named(attributes: str) -> bool:
+    return any(_is_frame_name(x) for a, *values in _ATTRIBUTE.findall(attributes) if a.lower() in ("class", "id", "role") for x in "".join(values).split())
+
+
+class _Element:
+    __slots__ = ("name", "framed", "holds_main")
+
+    def __init__(self, name: str, framed: bool) -> None:
+        self.name, self.framed, self.holds_main = name, framed, False
+
+
+def _parsed(page: str) -> list[tuple[str, str | _Element]]:
+    """Text, and where elements open and close; end tags that HTML implies are put in."""
+    out: list[tuple[str, str | _Element]] = []
+    open_: list[_Element] = []
+    n_open: dict[str, int] = {}  # spares the search for what is not open
+
+    def close(k: int) -> None:
+        while len(open_) > k:
+            out.append(("close", x := open_.pop()))
+            n_open[x.name] -= 1
 
     at = 0
     while True:
         m = _TAG.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not frame:
-            text = html.unescape(text)
-            parts.append(text)
-            if links:
-                linked += len(text.strip())
+        if text := page[at : m.start() if m else len(page)]:
+            out.append(("text", text))
         if not m:
             break
         at = m.end()
@@ -84,38 +98,91 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
-        if name == "a":
-            links = 0 if closing else 1
+        outer = name in _SECTION or name in _FRAME
         if closing:
-            if name in _FRAME or name in _SECTION or any(n == name for n, _ in open_[-1:]):
-                if any(n == name for n, _ in open_):
-                    while True:
-                        n, framed = open_.pop()
-                        frame -= framed
-                        if n in _MAIN or n in _SECTION or framed:
-                            gap()
-                        if n in _MAIN:
-                            main -= 1
-                        if n == name:
-                            break
-                links = 0
-            elif name in _BLOCK:
-                end_line()
+            for k in range(len(open_) - 1, -1, -1) if n_open.get(name) else ():
+                if open_[k].name == name:
+                    close(k)
+                    break
+                # An end tag of a small element does not end a section, nor one of an inline element a block.
+                if not outer and (open_[k].name in _SECTION or open_[k].name in _FRAME or name not in _BLOCK and open_[k].name in _BLOCK):
+                    break
+            else:
+                if name in _BLOCK:
+                    out.append(("break", name))
             continue
         if name in _VOID or m[3].endswith("/"):
             if name in _BLOCK:
-                end_line()
+                out.append(("break", name))
             continue
-        named = name not in ("html", "body", *_MAIN) and any(_NAMES.search(f" {next(filter(None, g), '')} ") for g in _ATTRIBUTE.findall(m[3]))
-        framed = (name in _FRAME and not (name == "header" and main)) or named
-        if framed or name in _SECTION or name in _FRAME:
-            gap()
-            if name in _MAIN:
-                main += 1
-            open_.append((name, framed))
-            frame += framed
+        for k in range(len(open_) - 1, -1, -1) if any(n_open.get(n) and name in by for n, by in _CLOSED_BY.items()) else ():
+            n = open_[k].name
+            if name in _CLOSED_BY.get(n, ()):
+                close(k)
+            elif n in _HOLD:
+                break
+        new = _Element(name, name in _FRAME or name not in ("html", "body", *_MAIN) and _named(m[3]))
+        if name in _MAIN:
+            for x in reversed(open_):
+                if x.holds_main:
+                    break
+                x.holds_main = True
+        open_.append(new)
+        n_open[name] = n_open.get(name, 0) + 1
+        out.append(("open", new))
+    close(0)
+    return out
+
+
+class _Line:
+    __slots__ = ("text", "linked", "main", "heading", "prose")
+
+    def __init__(self, text: str = "", linked: int = 0, main: bool = False, heading: bool = False, prose: bool = False) -> None:
+        self.text, self.linked, self.main, self.heading, self.prose = text, linked, main, heading, prose
+
+
+def _lines(page: str) -> list[_Line]:
+    lines: list[_Line] = []
+    parts: list[str] = []
+    linked = frame = main = links = heading = prose = 0
+
+    def end_line(empty: int = 0) -> None:
+        nonlocal linked
+        if text := " ".join("".join(parts).split()):
+            lines.append(_Line(text, linked, main > 0, heading > 0, prose > 0 or text.endswith(_ENDS)))
+        parts.clear()
+        linked = 0
+        have = 0
+        while lines and have < empty and not lines[-1 - have].text:
+            have += 1
+        if lines:
+            lines.extend(_Line() for _ in range(empty - have))
+
+    for kind, x in _parsed(page):
+        if kind == "text":
+            if not frame:
+                text = html.unescape(x)
+                parts.append(text)
+                if links:
+                    linked += len(text.strip())
+            continue
+        if kind == "break":
+            end_line()
+            continue
+        step, name = (1 if kind == "open" else -1), x.name
+        framed = x.framed and not x.holds_main and not (name == "header" and main)
+        x.framed = framed  # as it opened, so it closes
+        if framed:
+            end_line(WINDOW)
+        elif name in _SECTION or name in _FRAME:
+            end_line(1)
         elif name in _BLOCK:
             end_line()
+        frame += step * framed
+        main += step * (name in _MAIN)
+        links += step * (name == "a")
+        heading += step * (name in _HEADING)
+        prose += step * (name in _PROSE)
     end_line()
     return lines
 
@@ -124,25 +191,25 @@ def main_text(page: str | None) -> str:
     """The main text of one page; empty if it has none."""
     lines = _lines(page or "")
     n = len(lines)
-    sums = [sum(len(x[0]) for x in lines[k : k + WINDOW]) for k in range(n)]
-    regions: list[list[int]] = []
+    marked = any(x.main for x in lines)
+    linking = [False] * n  # lines of blocks that are links for the most part
     k = 0
     while k < n:
-        if not sums[k]:
-            k += 1
-            continue
-        surge = k
-        # Dive: empty lines fill a whole window.
-        while k < n and sums[k]:
-            k += 1
-        regions.append([j for j in range(surge, k) if lines[j][0]])
-    marked = [r for r in regions if any(lines[j][2] for j in r)]
-    if marked:
-        kept = [[j for j in r if lines[j][2]] for r in marked]
-    else:
-        size = lambda r: sum(len(lines[j][0]) for j in r)
-        kept = [r for r in regions if max(sums[j] for j in r) >= PEAK and sum(lines[j][1] for j in r) <= LINKS * size(r)]
-    return " ".join(lines[j][0] for r in kept for j in r)
+        end = k
+        while end < n and lines[end].text:
+            end += 1
+        block = lines[k:end]
+        if sum(x.linked for x in block if not x.main) > LINKS * sum(len(x.text) for x in block):
+            linking[k:end] = [not (x.main or x.heading) for x in block]
+        k = max(end, k + 1)
+    weights = [0 if out else max(0, len(x.text) - x.linked) for x, out in zip(lines, linking, strict=True)]
+    sums = [sum(weights[k : k + WINDOW]) for k in range(n)]
+    peak = min(PEAK, max(sums, default=0))
+    high = [k for k in range(n) if peak and sums[k] >= peak]
+    # The last high window counts as far as it needs to reach the peak.
+    surge, dive = (high[0], next(j for j in range(high[-1], n) if sum(weights[high[-1] : j + 1]) >= peak)) if high else (n, -1)
+    kept = lambda k, x: surge <= k <= dive or x.heading or x.prose and not x.linked * 2 > len(x.text)
+    return " ".join(x.text for k, x in enumerate(lines) if x.text and (x.main if marked else not linking[k] and kept(k, x)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -357,6 +357,27 @@ def test_html():
     assert main_text("<article><p>cut off &am") == "cut off &am"
 
 
+PROSE = "Words of a paragraph that is long enough to be main text by its length alone, so there."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><h1>Head</h1></div><div>{PROSE}</div><div><h2>Middle</h2></div><div>Tiny</div><div>{PROSE}</div><div><p>End</p></div>", f"Head {PROSE} Middle Tiny {PROSE} End"),
+        ("<div><h1>Short</h1></div><div><p>A short note.</p></div>", "Short A short note."),
+        (f"<div><h2><a href=x>Title</a></h2></div><div><p>{PROSE}</p></div><div><a href=y>More</a></div>", f"Title {PROSE}"),
+        (f"<div class='has-sidebar no-nav with-header'><p>{PROSE}</p><div class='left-sidebar'>Side</div></div>", PROSE),
+        (f"<div class=sidebar><article><p>{PROSE}</article></div>", PROSE),
+        (f"<form><main><p>{PROSE}</main></form>", PROSE),
+        (f"<div data-class=nav title='class=nav'><p>{PROSE}</div>", PROSE),
+        (f"<article><div class=entry-header><h1>Head</h1></div><p>{PROSE}</article>", f"Head {PROSE}"),
+        (f"<div><p class=ad>Buy<p>{PROSE}<ul><li class=share>Share<li>One</ul></div>", f"{PROSE} One"),
+    ],
+)
+def test_html_plain_pages(page, text):
+    assert main_text(page) == text
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = extract_text(pages).collect()
