@@ -3,12 +3,13 @@
 Markup is stripped and the page becomes lines: every block element starts a
 new one, an empty line stands where a section begins or ends, and WINDOW of
 them where a part of the page's frame (navigation, forms and the like) was
-taken out.  Where a page marks an article, its lines are the text.  Elsewhere
-the text lengths of each window of WINDOW lines are summed, without links.  A surge is where the sums first reach the peak a main text has, a dive
+taken out.  The text lengths of each window of WINDOW lines are summed, with
+characters in article and main counted ARTICLE times and links elsewhere not
+at all.  A surge is where the sums first reach the peak a main text has, a dive
 where they last do; a page that never reaches it has its highest sum for a peak.
 Between the two all is kept but blocks of links.  Before the surge and after the
 dive what is marked as prose (headings, paragraphs, items, whole sentences)
-is kept as well.
+is kept as well; on pages with an article, only what lies in it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ WINDOW = 3
 PEAK = 80
 #: Part of a block that may be link text.
 LINKS = 0.5
+#: Times that a character in article or main counts.
+ARTICLE = 16
 
 # Elements by their role in HTML.
 _RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "textarea", "select", "title", "xmp", "noembed", "noframes"}
@@ -202,14 +205,14 @@ def main_text(page: str | None) -> str:
         if sum(x.linked for x in block if not x.main) > LINKS * sum(len(x.text) for x in block):
             linking[k:end] = [not (x.main or x.heading) for x in block]
         k = max(end, k + 1)
-    weights = [0 if out else max(0, len(x.text) - x.linked) for x, out in zip(lines, linking, strict=True)]
+    weights = [len(x.text) * ARTICLE if x.main else 0 if out else max(0, len(x.text) - x.linked) for x, out in zip(lines, linking, strict=True)]
     sums = [sum(weights[k : k + WINDOW]) for k in range(n)]
     peak = min(PEAK, max(sums, default=0))
     high = [k for k in range(n) if peak and sums[k] >= peak]
     # The last high window counts as far as it needs to reach the peak.
     surge, dive = (high[0], next(j for j in range(high[-1], n) if sum(weights[high[-1] : j + 1]) >= peak)) if high else (n, -1)
     kept = lambda k, x: surge <= k <= dive or x.heading or x.prose and not x.linked * 2 > len(x.text)
-    return " ".join(x.text for k, x in enumerate(lines) if x.text and (x.main if marked else not linking[k] and kept(k, x)))
+    return " ".join(x.text for k, x in enumerate(lines) if x.text and not linking[k] and (x.main or not marked or weights[k] >= peak) and kept(k, x))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -378,6 +378,11 @@ def test_html_plain_pages(page, text):
     assert main_text(page) == text
 
 
+def test_html_article_is_a_weight():
+    """Line blocks pick the text on pages with an article too: a block beside it is judged by its sums."""
+    assert main_text(f"<article><p>Text</article><div>Foot</div><div><p>{PROSE}</p></div><div><p>Small.</p></div>") == f"Text {PROSE}"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = extract_text(pages).collect()
