@@ -1,15 +1,15 @@
 """Information-theoretic sanitisation of personal data, in built-in functions only.
 
 Protected entities are the addresses and numbers that four patterns find.  Terms
-(words of letters) near an entity may reveal it as well.  How strongly one does is
+(words of letters) in a text with an entity may reveal it as well.  How strongly one does is
 estimated from the whole corpus:
 
     disclosure(t, e) = PMI(t; e) / IC(e),   PMI = log2(n(t, e) N / (n(t) n(e))),   IC = log2(N / n(e))
 
-with n counting documents: t near e, t anywhere, e anywhere.  It is 1 when t never
+with n counting documents: t with e, t anywhere, e anywhere.  It is 1 when t never
 occurs without e.  Terms that reach REMOVE are removed, those that reach GENERALISE
-are replaced by a general word, if they are seen with the entity in SUPPORT
-documents at least.
+are replaced by a general word, wherever they stand, if they are seen with the entity
+in SUPPORT documents at least.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, stored, whole
+from .common import stored, whole
 
 GENERALISE, REMOVE, SUPPORT = 0.80, 0.95, 3
-#: Code points on either side of an entity in which terms are looked at.
-NEAR = 40
+#: Terms too frequent to reveal anything that are left out of the counting at once; the rest of them fail later.
+FREQUENT = 500
 KINDS = ("email", "ip", "card", "phone", "term")
 
 # Possessive quantifiers keep Java's matcher from recursing over long runs.  The look-behinds start a
@@ -47,12 +47,12 @@ _ENTITY = {"email": "lower(x.value)", "ip": "x.value", "card": _DIGITS, "phone":
 
 
 def _located(text: str, pattern: str) -> str:
-    """SQL for all matches in a text, as array<struct<start, end, value>> in code points.
+    """SQL for all matches of SQL's pattern in a text, as array<struct<start, end, value>> in code points.
 
     A split at the same pattern gives what lies between the matches, and so where each begins.
     """
     return (
-        f"element_at(transform(array(named_struct('p', split({text}, r'{pattern}', -1), 'h', regexp_extract_all({text}, r'{pattern}', 0))), m -> zip_with(m.h, "
+        f"element_at(transform(array(named_struct('p', split({text}, {pattern}, -1), 'h', regexp_extract_all({text}, {pattern}, 0))), m -> zip_with(m.h, "
         "aggregate(m.h, named_struct('i', 0, 'at', 0, 's', cast(array() as array<int>)), "
         "(a, h) -> named_struct('i', a.i + 1, 'at', a.at + length(m.p[a.i]) + length(h), 's', array_append(a.s, a.at + length(m.p[a.i])))).s, "
         "(h, s) -> named_struct('start', s, 'end', s + length(h), 'value', h))), 1)"
@@ -63,27 +63,59 @@ _SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,entity:string>>
 _TERM = r"\p{L}{3,}+"
 
 
+def _quoted(pattern: str) -> str:
+    return f"r'{pattern}'"
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, id, text, spans (by start, then kind, as array of structs)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(F.col(text_col)).alias("text")).withColumn("row", F.monotonically_increasing_id())
     flagged = rows.withColumn("digits", F.expr("text rlike '[0-9]'"))
     for no, kind in enumerate(KINDS[:4]):
-        made = f"transform(filter({_located('text', PATTERNS[kind])}, x -> {_VALID[kind]}), x -> named_struct('start', x.start, 'kind_no', {no}, 'end', x.end, 'kind', '{kind}', 'entity', concat('{kind}:', {_ENTITY[kind]})))"
+        made = f"transform(filter({_located('text', _quoted(PATTERNS[kind]))}, x -> {_VALID[kind]}), x -> named_struct('start', x.start, 'kind_no', {no}, 'end', x.end, 'kind', '{kind}', 'entity', concat('{kind}:', {_ENTITY[kind]})))"
         flagged = flagged.withColumn(kind, F.expr(f"case when {_NEEDS[kind]} then {made} else cast(array() as {_SPANS}) end"))
     return flagged.select("row", "id", "text", F.sort_array(F.concat(*KINDS[:4])).alias("spans"))
 
 
-def _terms_near(side: str) -> str:
-    """SQL for the terms beside span b: whole words only, outside every span."""
-    if side == "left":
-        first, n, cut = f"greatest(b.start - {NEAR}, 0)", f"b.start - greatest(b.start - {NEAR}, 0)", f"(x.start > 0 or b.start <= {NEAR})"
-    else:
-        first, n, cut = "b.end", f"{NEAR}", f"(x.end < {NEAR} or b.end + {NEAR} >= length(text))"
-    found = _located(f"substring(text, {first} + 1, {n})", _TERM)
-    return (
-        f"transform(filter({found}, x -> {cut} and not exists(spans, o -> o.start < {first} + x.end and {first} + x.start < o.end)), "
-        f"x -> named_struct('entity', b.entity, 'term', lower(x.value), 'start', {first} + x.start, 'end', {first} + x.end))"
-    )
+#: A letter that stands for an address, so that letters that touch it are no word of their own.
+_MARK = "\ua78f"
+#: SQL for the text with each span replaced.
+_OUTSIDE = (
+    "concat(array_join(transform(spans, (b, i) -> concat(substring(text, coalesce(array_max(transform(slice(spans, 1, i), x -> x.end)), 0) + 1, b.start - coalesce(array_max(transform(slice(spans, 1, i), x -> x.end)), 0)), "
+    f"if(b.kind = 'email', '{_MARK}', ' '))), ''), substring(text, coalesce(array_max(transform(spans, x -> x.end)), 0) + 1))"
+)
+
+
+def _words(text: str) -> str:
+    """SQL for the words of a text as they stand, each once."""
+    return f"array_distinct(regexp_extract_all({text}, {_quoted(_TERM)}, 0))"
+
+
+def _terms(text: str) -> str:
+    return f"array_distinct(transform({_words(text)}, x -> lower(x)))"
+
+
+def _revealing(found: DataFrame, total: int) -> DataFrame:
+    """term, action (the stronger one, if it reveals several entities).
+
+    A term of disclosure d with an entity is in n(e)^d N^(1 - d) texts at most, so
+    only entities of SUPPORT texts and terms below that bound are counted together.
+    """
+    in_text = found.select("row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
+    entities = stored(in_text.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < total)), "personal-entities").df
+    # Counted within each task first, so what is shuffled is one row for each term and task.
+    terms = stored(found.select(F.explode(F.expr(_terms("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= SUPPORT), "personal-terms").df
+    bound = (entities.agg(F.max("n_e")).first()[0] or 0) ** GENERALISE * total ** (1 - GENERALISE) * (1 + 1e-9)
+    frequent = [r.term for r in terms.where(F.col("n_t") > bound).orderBy(F.desc("n_t"), "term").limit(FREQUENT).collect()]
+    held = in_text.join(entities, "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    words = F.array_except(F.expr(f"transform(filter({_words(_OUTSIDE)}, x -> not contains(x, '{_MARK}')), x -> lower(x))"), F.lit(frequent).cast("array<string>"))
+    pairs = (
+        found.where(F.size("spans") > 0).join(held, "row").select(F.explode("entities").alias("entity"), words.alias("words")).select("entity", F.explode("words").alias("term"))
+        .groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    )
+    disclosure = (F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))) / F.log2(F.lit(float(total)) / F.col("n_e"))
+    scored = pairs.join(entities, "entity").join(terms.where(F.col("n_t") <= bound), "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISE)
+    return scored.groupBy("term").agg(F.max(F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")).alias("action"))
 
 
 def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,22 +124,18 @@ def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text counts as empty.  Null ids and repeated rows are rows of their
     own; other columns are ignored.  An empty table gives an empty result.
     """
-    near = f"flatten(transform(spans, b -> concat({_terms_near('left')}, {_terms_near('right')})))"
-    found: Stored = stored(find_spans(docs, id_col, text_col).select("row", "id", "spans", F.expr(f"array_distinct(case when size(spans) > 0 then {near} else array() end)").alias("near")), "personal-data")
-    total = found.df.count()
-    entities = found.df.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = found.df.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    # Counted within each task first, so what is shuffled is one row for each term and task.
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole(F.col(text_col))), F.lit(_TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= SUPPORT)
-    disclosure = (F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))) / F.log2(F.lit(float(total)) / F.col("n_e"))
-    revealing = (
-        pairs.join(entities, "entity").join(terms, "term").where(F.col("n_e") < total)
-        .withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISE)
-        .select("entity", "term", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("action"))
-    )
-    seen = found.df.select("row", F.explode("near").alias("o")).select("row", "o.entity", "o.term", "o.start", "o.end")
-    terms_by_row = seen.join(revealing, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
-    return found.df.join(terms_by_row, "row", "left").select("row", "id", F.col("spans").alias("base"), F.coalesce("terms", F.expr("cast(array() as array<struct<start:int,end:int,action:string>>)")).alias("terms"))
+    found = stored(find_spans(docs, id_col, text_col), "personal-data").df
+    revealing = stored(_revealing(found, found.count()), "personal-revealing").df
+    seen = found.select("row", F.explode(F.expr(_terms("text"))).alias("term")).join(revealing, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("revealing"))
+    # All forms of the revealing terms of a text, as one pattern for whole words.
+    words = f"filter({_words('text')}, x -> map_contains_key(revealing, lower(x)))"
+    marked = (
+        f"transform(filter({_located('text', 'pattern')}, x -> not exists(spans, o -> o.start < x.end and x.start < o.end)), "
+        "x -> named_struct('start', x.start, 'end', x.end, 'action', revealing[lower(x.value)]))"
+    )
+    none = "cast(array() as array<struct<start:int,end:int,action:string>>)"
+    joined = found.join(seen, "row", "left").withColumn("pattern", F.expr(f"concat(r'(?<!\\p{{L}})(?:', array_join({words}, '|'), r')(?!\\p{{L}})')"))
+    return joined.select("row", "id", F.col("spans").alias("base"), F.expr(f"case when revealing is null then {none} else {marked} end").alias("terms"))
 
 
 def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -173,6 +173,15 @@ def test_revealing_terms(spark):
     assert all([(t.start, t.end, t.action) for t in r.terms] == [(0, 8, "remove")] for r in got)
 
 
+def test_revealing_terms_anywhere(spark):
+    """A name far from its address counts, and is marked wherever it stands, in texts without the address too."""
+    far = "and so they wrote about the plan from here " * 5
+    rows = [(k, f"Zorblatt: {far}to zorb@mail.org, from ZORBLATT", "en", "a") for k in range(20)] + [(50, f"{far} zorblatt", "en", "a")] + [(100 + k, f"{far} {k}", "en", "a") for k in range(380)]
+    got = {r.id: [(t.start, t.end, t.action) for t in r.terms] for r in sanitise_spans(table(spark, rows)).where("size(terms) > 0").collect()}
+    end = len(rows[0][1])
+    assert got == {k: [(0, 8, "remove"), (end - 8, end, "remove")] for k in range(20)} | {50: [(len(far) + 1, len(far) + 9, "remove")]}
+
+
 def test_mix_targets():
     assert mix_targets([10, 100, 90], [1, 2, 3]) == pytest.approx([30, 170 * 2 / 5, 170 * 3 / 5])
     assert mix_targets([], [1]) == [] and mix_targets([0, 0], [1, 2]) == [0, 0]
