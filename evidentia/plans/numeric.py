@@ -186,6 +186,13 @@ def q17(spark: SparkSession, d: str) -> DataFrame:
     return I.overlap_pairs(lines, "l_orderkey", "n", "s", "e", grace=2)
 
 
+def _covered_days(events: DataFrame) -> DataFrame:
+    day = F.col("ts").cast("date")
+    spans = events.select("user_id", F.struct(day.alias("start"), F.date_add(day, (1 + F.col("event_id") % 4).cast("int")).alias("end")).alias("i"))
+    # A user has few distinct intervals, however many events: the set is what is gathered.
+    return spans.groupBy("user_id").agg(I.union_length(F.collect_set("i")).alias("days"))
+
+
 @query(
     "q18_interval_union_length",
     """WITH i AS (SELECT user_id, CAST(ts AS DATE) AS s, CAST(ts AS DATE) + CAST(1 + event_id % 4 AS INTEGER) AS e FROM events WHERE event_id % 7 < 2),
@@ -195,10 +202,19 @@ def q17(spark: SparkSession, d: str) -> DataFrame:
     SELECT user_id, CAST(sum(n) AS BIGINT) AS days FROM u GROUP BY 1""",
 )
 def q18(spark: SparkSession, d: str) -> DataFrame:
-    day = F.col("ts").cast("date")
-    spans = load(spark, d, "events").where("event_id % 7 < 2").select("user_id", F.struct(day.alias("start"), F.date_add(day, (1 + F.col("event_id") % 4).cast("int")).alias("end")).alias("i"))
-    # A user has few distinct intervals, however many events: the set is what is gathered.
-    return spans.groupBy("user_id").agg(I.union_length(F.collect_set("i")).alias("days"))
+    return _covered_days(load(spark, d, "events").where("event_id % 7 < 2"))
+
+
+@query(
+    "q18b_interval_union_length_all",
+    """WITH i AS (SELECT user_id, CAST(ts AS DATE) AS s, CAST(ts AS DATE) + CAST(1 + event_id % 4 AS INTEGER) AS e FROM events),
+    m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM i),
+    g AS (SELECT *, sum(CASE WHEN upto IS NULL OR s > upto THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
+    u AS (SELECT user_id, island, date_diff('day', min(s), max(e)) AS n FROM g GROUP BY 1, 2)
+    SELECT user_id, CAST(sum(n) AS BIGINT) AS days FROM u GROUP BY 1""",
+)
+def q18b(spark: SparkSession, d: str) -> DataFrame:
+    return _covered_days(load(spark, d, "events"))
 
 
 @query(
