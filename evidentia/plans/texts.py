@@ -118,6 +118,11 @@ def q35(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.sha2(T.compose([("Language", F.col("lang")), ("Source", F.col("source")), ("Text", head)]), 256).alias("h"))
 
 
+@query("q35b_compose_document_whole", "SELECT doc_id, sha256(concat_ws(chr(10), CASE WHEN length(trim(coalesce(lang, ''))) > 0 THEN 'Language: ' || trim(lang) END, CASE WHEN length(trim(coalesce(source, ''))) > 0 THEN 'Source: ' || trim(source) END, CASE WHEN length(trim(coalesce(text, ''))) > 0 THEN 'Text: ' || trim(text) END)) AS h FROM documents")
+def q35b(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", F.sha2(T.compose([("Language", F.col("lang")), ("Source", F.col("source")), ("Text", F.col("text"))]), 256).alias("h"))
+
+
 @query(
     "q36_census_profile",
     """SELECT 'o_totalprice' AS field, count(o_totalprice) AS n, min(o_totalprice) AS min, max(o_totalprice) AS max, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.25), 4) AS p25, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.75), 4) AS p75, round(quantile_cont(o_totalprice, 0.95), 4) AS p95 FROM orders
