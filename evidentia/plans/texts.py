@@ -85,6 +85,11 @@ def q30(spark: SparkSession, d: str) -> DataFrame:
     return L.cooccurrence(docs, "text", vocabulary).select("token", "other", "n", "rank")
 
 
+@query("q30b_cooccurrence_top10_whole")
+def q30b(spark: SparkSession, d: str) -> DataFrame:
+    return L.cooccurrence_whole(load(spark, d, "documents"), "text")
+
+
 @query(
     "q31_token_overlap",
     """WITH v AS (SELECT list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]+')))) AS v FROM benchmark), s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS s FROM documents)

@@ -43,3 +43,21 @@ def test_compose_whole(spark, tmp_path):
     got = {r.doc_id: r.h for r in QUERIES["q35b_compose_document_whole"](spark, str(tmp_path)).collect()}
     said = {1: f"Language: en\nSource: web\nText: {rows[0][1]}", 2: f"Language: en\nSource: web\nText: {rows[1][1]}", 3: "Source: web", 4: ""}
     assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in said.items()}
+
+
+@pytest.mark.parametrize("block_pairs", [20, 4_000_000])
+def test_cooccurrence_whole(spark, block_pairs):
+    """All tokens are terms and neighbours, against counting by brute force."""
+    import random
+    import re
+    from collections import Counter
+    from itertools import permutations
+
+    from evidentia.operators.lexicon import cooccurrence_whole
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.choice((1, 1, 2)) for _ in range(rng.randrange(40))) for _ in range(60)] + [None, "", "alone", "The the THE x"]
+    n = Counter(p for t in texts for p in permutations(set(re.findall("[a-z]+", (t or "").lower())), 2))
+    said = {(a, b, n[a, b], k) for a in {a for a, _ in n} for k, b in enumerate(sorted((b for x, b in n if x == a), key=lambda b: (-n[a, b], b))[:10], 1)}
+    got = cooccurrence_whole(spark.createDataFrame([(t,) for t in texts], "text string"), "text", block_pairs=block_pairs).collect()
+    assert len(got) == len(said) and {tuple(r) for r in got} == said
