@@ -128,13 +128,13 @@ def q50(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q51_kmeans_archetypes")
 def q51(spark: SparkSession, d: str) -> DataFrame:
-    return C.kmeans(_vectors(spark, d), "vector", 10)[1]
+    return C.kmeans(_vectors(spark, d), "vector", 10, runs=10)[1]
 
 
 @query("q52_weight_search")
 def q52(spark: SparkSession, d: str) -> DataFrame:
     rows = _labelled(spark, d).withColumn("stratum", F.col("tier").cast("int"))
-    return C.weight_search(P.stratified_split(rows, "doc_id", "stratum"), ["length", "plain", "compact"], "tier", "doc_id", "is_val", draws=200)
+    return C.weight_search(P.stratified_split(rows, "doc_id", "stratum"), ["length", "plain", "compact"], "tier", "doc_id", "is_val")
 
 
 @query(

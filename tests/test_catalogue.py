@@ -61,3 +61,22 @@ def test_cooccurrence_whole(spark, block_pairs):
     said = {(a, b, n[a, b], k) for a in {a for a, _ in n} for k, b in enumerate(sorted((b for x, b in n if x == a), key=lambda b: (-n[a, b], b))[:10], 1)}
     got = cooccurrence_whole(spark.createDataFrame([(t,) for t in texts], "text string"), "text", block_pairs=block_pairs).collect()
     assert len(got) == len(said) and {tuple(r) for r in got} == said
+
+
+@pytest.mark.parametrize(("name", "operator", "parameter", "least"), [("q52_weight_search", "weight_search", "draws", 2000), ("q51_kmeans_archetypes", "kmeans", "runs", 10)])
+def test_whole_search(spark, monkeypatch, name, operator, parameter, least):
+    """The registered searches are as wide as those of the reference."""
+    import inspect
+
+    from evidentia.operators import calibrate
+
+    f, seen = getattr(calibrate, operator), []
+
+    def spy(*args, **named):
+        bound = inspect.signature(f).bind(*args, **named)
+        bound.apply_defaults()
+        seen.append(bound.arguments[parameter])
+        return f(*args, **named)
+
+    monkeypatch.setattr(calibrate, operator, spy)
+    assert QUERIES[name](spark, SMALL).count() and seen == [least]
