@@ -56,22 +56,25 @@ _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(?:>|\Z)""", re.S)
 
 
-def _is_frame_name(name: str) -> bool:
-    """Whether a class, id or role is the whole name of a part of the frame: has-sidebar and entry-header are none."""
+def _frame_name(name: str) -> str:
+    """What part of the frame a class, id or role names as a whole: header, frame, or nothing (has-sidebar and entry-header name none)."""
     parts = [x for x in re.split(r"[-_]", name.lower()) if x and not x.isdigit()]
-    known = [x in _NAMES or x[-1:] == "s" and x[:-1] in _NAMES for x in parts]
-    return any(known) and all(k or x in _BESIDE or x[-1:] == "s" and x[:-1] in _BESIDE for k, x in zip(known, parts, strict=True))
+    known = [x for x in parts if x in _NAMES or x[-1:] == "s" and x[:-1] in _NAMES]
+    if not known or not all(x in known or x in _BESIDE or x[-1:] == "s" and x[:-1] in _BESIDE for x in parts):
+        return ""
+    return "header" if set(known) == {"header"} else "frame"
 
 
-def _named(attributes: str) -> bool:
-    return any(_is_frame_name(x) for a, *values in _ATTRIBUTE.findall(attributes) if a.lower() in ("class", "id", "role") for x in "".join(values).split())
+def _named(attributes: str) -> str:
+    found = {_frame_name(x) for a, *values in _ATTRIBUTE.findall(attributes) if a.lower() in ("class", "id", "role") for x in "".join(values).split()}
+    return "frame" if "frame" in found else "header" if "header" in found else ""
 
 
 class _Element:
-    __slots__ = ("name", "framed", "holds_main")
+    __slots__ = ("name", "frame", "framed", "holds_main")
 
-    def __init__(self, name: str, framed: bool) -> None:
-        self.name, self.framed, self.holds_main = name, framed, False
+    def __init__(self, name: str, frame: str) -> None:
+        self.name, self.frame, self.framed, self.holds_main = name, frame, False, False
 
 
 def _parsed(page: str) -> list[tuple[str, str | _Element]]:
@@ -124,7 +127,10 @@ def _parsed(page: str) -> list[tuple[str, str | _Element]]:
                 close(k)
             elif n in _HOLD:
                 break
-        new = _Element(name, name in _FRAME or name not in ("html", "body", *_MAIN) and _named(m[3]))
+        frame = "header" if name == "header" else "frame" if name in _FRAME else ""
+        if name not in ("html", "body", *_MAIN) and name not in _HEADING and frame != "frame":
+            frame = max(frame, _named(m[3]), key=("", "header", "frame").index)
+        new = _Element(name, frame)
         if name in _MAIN:
             for x in reversed(open_):
                 if x.holds_main:
@@ -173,8 +179,10 @@ def _lines(page: str) -> list[_Line]:
             end_line()
             continue
         step, name = (1 if kind == "open" else -1), x.name
-        framed = x.framed and not x.holds_main and not (name == "header" and main)
-        x.framed = framed  # as it opened, so it closes
+        if kind == "open":
+            # What the page calls a header is one of the article within it.
+            x.framed = not x.holds_main and (x.frame == "frame" or x.frame == "header" and not main)
+        framed = x.framed
         if framed:
             end_line(WINDOW)
         elif name in _SECTION or name in _FRAME:
@@ -190,6 +198,22 @@ def _lines(page: str) -> list[_Line]:
     return lines
 
 
+def window_sums(weights: list[int]) -> list[int]:
+    """Of each line the weights of the window that begins at it."""
+    return [sum(weights[k : k + WINDOW]) for k in range(len(weights))]
+
+
+def surge_and_dive(weights: list[int]) -> tuple[int, int, int]:
+    """The peak that the sums reach, and the lines where they first and last do; the surge is behind the dive where there is no text."""
+    n, sums = len(weights), window_sums(weights)
+    peak = min(PEAK, max(sums, default=0))
+    high = [k for k in range(n) if peak and sums[k] >= peak]
+    if not high:
+        return peak, n, -1
+    # The last high window counts as far as it needs to reach the peak.
+    return peak, high[0], next(j for j in range(high[-1], n) if sum(weights[high[-1] : j + 1]) >= peak)
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page; empty if it has none."""
     lines = _lines(page or "")
@@ -206,11 +230,7 @@ def main_text(page: str | None) -> str:
             linking[k:end] = [not (x.main or x.heading) for x in block]
         k = max(end, k + 1)
     weights = [len(x.text) * ARTICLE if x.main else 0 if out else max(0, len(x.text) - x.linked) for x, out in zip(lines, linking, strict=True)]
-    sums = [sum(weights[k : k + WINDOW]) for k in range(n)]
-    peak = min(PEAK, max(sums, default=0))
-    high = [k for k in range(n) if peak and sums[k] >= peak]
-    # The last high window counts as far as it needs to reach the peak.
-    surge, dive = (high[0], next(j for j in range(high[-1], n) if sum(weights[high[-1] : j + 1]) >= peak)) if high else (n, -1)
+    peak, surge, dive = surge_and_dive(weights)
     kept = lambda k, x: surge <= k <= dive or x.heading or x.prose and not x.linked * 2 > len(x.text)
     return " ".join(x.text for k, x in enumerate(lines) if x.text and not linking[k] and (x.main or not marked or weights[k] >= peak) and kept(k, x))
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from evidentia.llm import html_text as H
 from evidentia.llm import near_dedup as N
 from evidentia.llm.common import WORD, crc_mod, stored
 from evidentia.llm.components import components
@@ -25,7 +26,7 @@ from evidentia.llm.pieces import decode, encode, encode_digests
 from evidentia.llm.quality import Rule, order_rules, quality
 from evidentia.llm.queries import piece_model
 from evidentia.llm.shingles import shingle_set
-from evidentia.llm.toxicity import fold, learn_toxicity, score_toxicity
+from evidentia.llm.toxicity import Lexicon, choose_entries, choose_exceptions, fold, learn_toxicity, score_toxicity
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -217,7 +218,35 @@ def test_mixing_nears_targets(spark):
 
 
 def test_fold():
-    assert fold("Ѕtuріd 1d10t!! m0r0n$$$ x@y 1234ab56 stupid$$$") == ["stupid", "idiot", "moron", "xay", "ab", "stupid"]
+    assert fold("Ѕtuріd 1d10t!! m0r0n$$$ x@y 1234ab56 stupid$$$") == ["stupid", "idiot", "moron", "xay", "i", "eaabs", "stupid"]
+    assert fold("ｓｔｕｐｉｄ 𝐬𝐭𝐮𝐩𝐢𝐝 s t u p i d i.d.i.o.t a b cd 5h1t 12 15 3") == ["stupid"] * 3 + ["idiot", "a", "b", "cd", "shit"]
+    assert fold("") == fold("\u200b 12 !?") == []
+
+
+_FOLDED = st.lists(st.sampled_from("ab abc abcd abcde bc xabc cd trash can".split()), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_FOLDED, st.dictionaries(st.sampled_from(["ab ", "abc ", "abc", "abcd", "bc ", "x", "can "]), st.floats(0.1, 5), max_size=5), st.sets(st.sampled_from(["trash can", "ab abc", "bc cd"])))
+def test_lexicon_against_brute_force(words, weights, exceptions):
+    """The automaton finds what asking every word for every entry finds."""
+    want = []
+    for k, w in enumerate(words):
+        spared = any(k + d >= 0 and " ".join(words[k + d : k + d + 2]) == p for p in exceptions for d in (-1, 0) if k + d + 2 <= len(words))
+        fit = [x for t, x in weights.items() if (w == t[:-1] if t.endswith(" ") else w.startswith(t))]
+        if fit and not spared:
+            want.append(max(fit))
+    total, per_word = Lexicon(weights, sorted(exceptions)).features(" ".join(words))
+    single = any(len(w) == 1 for w in words)
+    assert single or (math.isclose(total, math.log1p(math.fsum(want))) and math.isclose(per_word, math.fsum(want) / math.sqrt(len(words) or 1)))
+
+
+def test_entries_count_alike_in_any_sample():
+    """The same shares in a sample ten times as large: nothing that was an entry is none any more."""
+    few = choose_entries({"bad ": 9, "word ": 10}, {"word ": 20}, 20, 40)
+    many = choose_entries({"bad ": 90, "word ": 100}, {"word ": 200}, 200, 400)
+    assert set(few) == set(many) == {"bad "}
+    assert choose_exceptions({"a b": 1, "c d": 9}, {"a b": 3, "c d": 3, "e f": 2}, 10, 10) == ["a b"]
 
 
 def test_toxicity(spark, empty):
@@ -226,7 +255,8 @@ def test_toxicity(spark, empty):
     rows, labels = [], []
     for k in range(600):
         toxic = k % 4 == 0
-        t = [rng.choice(words) for _ in range(rng.randint(10, 60))]
+        t = ["trash", "grumfle"] if k % 9 == 1 and not toxic else []
+        t += [rng.choice(words) for _ in range(rng.randint(10, 60))]
         for _ in range(3 * toxic):
             t.insert(rng.randrange(len(t)), rng.choice(("idiot", "1diot", "grumfle", "grumfled")))
         rows.append((k, " ".join(t), "en", "a"))
@@ -236,11 +266,15 @@ def test_toxicity(spark, empty):
     model = learn_toxicity(docs, marks, crc_mod("doc_id", 3) != 1)
     got = score_toxicity(docs, model).collect()
     truth = dict(labels)
+    assert "trash grumfle" in model["exceptions"]
     held = [(r.predicted, truth[r.doc_id]) for r in got if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     assert sum(a == b for a, b in held) / len(held) > 0.97
     assert len(got) == 602 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     assert score_toxicity(empty, model).count() == 0
-    assert learn_toxicity(docs, marks.where("toxic = 0"), F.lit(True))["weights"] == {}
+    for none in (marks.where("toxic = 0"), marks.where("toxic = 1"), marks.limit(0), marks.withColumn("doc_id", F.col("doc_id") + 100_000)):
+        clean = learn_toxicity(docs, none, F.lit(True))
+        assert clean["weights"] == {} and {r.predicted for r in score_toxicity(docs, clean).collect()} == {0}
+    assert learn_toxicity(empty, marks, F.lit(True))["weights"] == {}
 
 
 def brute_components(rows, width, num, den):
@@ -387,6 +421,11 @@ PROSE = "Words of a paragraph that is long enough to be main text by its length
         (f"<form><main><p>{PROSE}</main></form>", PROSE),
         (f"<div data-class=nav title='class=nav'><p>{PROSE}</div>", PROSE),
         (f"<article><div class=entry-header><h1>Head</h1></div><p>{PROSE}</article>", f"Head {PROSE}"),
+        (f"<div class=search-results><p>{PROSE}</p><h2>Two</h2><p>{PROSE}</p></div>", f"{PROSE} Two {PROSE}"),
+        (f"<article><h1 class=page-header>Head</h1><div class=page-header><p>Line</p></div><p>{PROSE}</article>", f"Head Line {PROSE}"),
+        (f"<div class=page-header>Site</div><h1 class=page-header>Head</h1><p>{PROSE}</p>", f"Head {PROSE}"),
+        (f"<article>x x x</article><div><p>{PROSE}</p><p>{PROSE}</p></div>", f"x x x {PROSE} {PROSE}"),
+        ("<body><h1>Hi</h1><p>Short.</p></body>", "Hi Short."),
         (f"<div><p class=ad>Buy<p>{PROSE}<ul><li class=share>Share<li>One</ul></div>", f"{PROSE} One"),
     ],
 )
@@ -399,6 +438,30 @@ def test_html_article_is_a_weight():
     assert main_text(f"<article><p>Text</article><div>Foot</div><div><p>{PROSE}</p></div><div><p>Small.</p></div>") == f"Text {PROSE}"
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 120), max_size=25))
+def test_line_blocks_against_brute_force(weights):
+    n = len(weights)
+    sums = [sum(weights[j] for j in range(k, min(n, k + H.WINDOW))) for k in range(n)]
+    assert H.window_sums(weights) == sums
+    peak, surge, dive = H.surge_and_dive(weights)
+    assert peak == min(H.PEAK, max(sums, default=0))
+    if peak:
+        assert all(x < peak for x in sums[:surge]) and sums[surge] >= peak
+        last = max(k for k in range(n) if sums[k] >= peak)
+        assert last <= dive < last + H.WINDOW and sum(weights[last : dive + 1]) >= peak > sum(weights[last:dive])
+    else:
+        assert surge > dive
+
+
+def test_surge_and_dive_pick_the_text(monkeypatch):
+    """Without surge and dive, bare text before and after the main text stays; the window of the surge counts whole."""
+    page = f"<div>Home</div><div>By</div><div>{PROSE}</div><div>Bare words inside</div><div>{PROSE}</div><div>Terms</div><div>Contact</div>"
+    assert main_text(page) == f"By {PROSE} Bare words inside {PROSE}"
+    monkeypatch.setattr(H, "surge_and_dive", lambda weights: (0, 0, len(weights)))
+    assert main_text(page) == f"Home By {PROSE} Bare words inside {PROSE} Terms Contact"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = extract_text(pages).collect()
