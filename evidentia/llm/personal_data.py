@@ -1,15 +1,18 @@
 """Information-theoretic sanitisation of personal data, in built-in functions only.
 
-Protected entities are the addresses and numbers that four patterns find.  Terms
-(words of letters) in a text with an entity may reveal it as well.  How strongly one does is
-estimated from the whole corpus:
+Protected entities are the addresses and numbers that four patterns find, and what
+they belong to: an address' domain, a host's network, a card's issuer, a phone
+number's block.  Terms (words of letters) in a text with an entity may reveal it as
+well.  How strongly one does is estimated from the whole corpus:
 
     disclosure(t, e) = PMI(t; e) / IC(e),   PMI = log2(n(t, e) N / (n(t) n(e))),   IC = log2(N / n(e))
 
 with n counting documents: t with e, t anywhere, e anywhere.  It is 1 when t never
 occurs without e.  Terms that reach REMOVE are removed, those that reach GENERALISE
 are replaced by a general word, wherever they stand, if they are seen with the entity
-in SUPPORT documents at least.
+in SUPPORT documents at least and n(t, e) IC(e) reaches EVIDENCE bits: a word that
+has nothing to do with an entity stands in k documents, all with the entity, with a
+chance of 2^-(k IC(e)).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, whole
 
-GENERALISE, REMOVE, SUPPORT = 0.80, 0.95, 3
+GENERALISE, REMOVE, SUPPORT, EVIDENCE = 0.80, 0.95, 2, 16.0
 #: Terms too frequent to reveal anything that are left out of the counting at once; the rest of them fail later.
 FREQUENT = 500
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -42,8 +45,30 @@ _VALID = {
     "card": f"length({_DIGITS}) between 12 and 19 and aggregate(sequence(1, length({_DIGITS})), 0, (a, i) -> a + int(substring(reverse({_DIGITS}), i, 1)) * (2 - i % 2) - if(i % 2 = 0 and int(substring(reverse({_DIGITS}), i, 1)) > 4, 9, 0)) % 10 = 0",
     "phone": f"length({_DIGITS}) between 9 and 15",
 }
-#: What makes two spans one entity.
+#: What makes two spans one entity, and what that belongs to.
 _ENTITY = {"email": "lower(x.value)", "ip": "x.value", "card": _DIGITS, "phone": _DIGITS}
+_GROUP = {
+    "email": "concat('domain:', lower(substring_index(x.value, '@', -1)))",
+    "ip": "concat('network:', substring_index(x.value, '.', 3))",
+    "card": f"concat('issuer:', left({_DIGITS}, 6))",
+    "phone": f"concat('block:', left({_DIGITS}, length({_DIGITS}) - 4))",
+}
+
+
+#: Elements of an array that are folded one by one; longer arrays are folded in blocks of so many.
+_BLOCK = 256
+_INTS = "cast(array() as array<int>)"
+
+
+def _folded(xs: str, step: str) -> str:
+    """SQL for the fold, from 0, of what stands before each element of an array of ints; ``step`` says how, of {a} and x.
+
+    An append copies its array, so the folds of blocks are appended first and then those within each block.
+    """
+    running = f"aggregate(%s, named_struct('at', %s, 's', {_INTS}), (z, x) -> named_struct('at', {step.format(a='z.at')}, 's', array_append(z.s, z.at))).s"
+    totals = f"transform(blocks, b -> aggregate(b, 0, (z, x) -> {step.format(a='z')}))"
+    blocks = f"transform(sequence(0, greatest(size(v) - 1, 0) div {_BLOCK}), k -> slice(v, k * {_BLOCK} + 1, {_BLOCK}))"
+    return f"element_at(transform(array({xs}), v -> element_at(transform(array({blocks}), blocks -> flatten(zip_with(blocks, {running % (totals, 0)}, (b, first) -> {running % ('b', 'first')}))), 1)), 1)"
 
 
 def _located(text: str, pattern: str) -> str:
@@ -53,13 +78,25 @@ def _located(text: str, pattern: str) -> str:
     """
     return (
         f"element_at(transform(array(named_struct('p', split({text}, {pattern}, -1), 'h', regexp_extract_all({text}, {pattern}, 0))), m -> zip_with(m.h, "
-        "aggregate(m.h, named_struct('i', 0, 'at', 0, 's', cast(array() as array<int>)), "
-        "(a, h) -> named_struct('i', a.i + 1, 'at', a.at + length(m.p[a.i]) + length(h), 's', array_append(a.s, a.at + length(m.p[a.i])))).s, "
-        "(h, s) -> named_struct('start', s, 'end', s + length(h), 'value', h))), 1)"
+        f"zip_with({_folded('zip_with(slice(m.p, 1, size(m.h)), m.h, (p, h) -> length(p) + length(h))', '{a} + x')}, slice(m.p, 1, size(m.h)), (at, p) -> at + length(p)), "
+        "(h, at) -> named_struct('start', at, 'end', at + length(h), 'value', h))), 1)"
     )
 
 
-_SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,entity:string>>"
+def _apart(found: str, spans: str) -> str:
+    """SQL for those of found (start, end, value) that no span overlaps: in order of their ends, those beyond whose start no earlier span reaches."""
+    events = (
+        f"sort_array(concat(transform({spans}, o -> named_struct('pos', o.start, 'no', 1, 'reach', o.end, 'start', 0, 'end', 0, 'value', '')), "
+        f"transform({found}, o -> named_struct('pos', o.end, 'no', 0, 'reach', 0, 'start', o.start, 'end', o.end, 'value', o.value))))"
+    )
+    reach = _folded("transform(events, e -> e.reach)", "greatest({a}, x)")
+    return (
+        f"element_at(transform(array({events}), events -> transform(filter(zip_with(events, {reach}, (e, most) -> named_struct('e', e, 'most', most)), o -> o.e.no = 0 and o.most <= o.e.start), "
+        "o -> named_struct('start', o.e.start, 'end', o.e.end, 'value', o.e.value))), 1)"
+    )
+
+
+_SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,entity:string,belongs:string>>"
 _TERM = r"\p{L}{3,}+"
 
 
@@ -72,20 +109,11 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(F.col(text_col)).alias("text")).withColumn("row", F.monotonically_increasing_id())
     flagged = rows.withColumn("digits", F.expr("text rlike '[0-9]'"))
     for no, kind in enumerate(KINDS[:4]):
-        made = f"transform(filter({_located('text', _quoted(PATTERNS[kind]))}, x -> {_VALID[kind]}), x -> named_struct('start', x.start, 'kind_no', {no}, 'end', x.end, 'kind', '{kind}', 'entity', concat('{kind}:', {_ENTITY[kind]})))"
+        made = f"transform(filter({_located('text', _quoted(PATTERNS[kind]))}, x -> {_VALID[kind]}), x -> named_struct('start', x.start, 'kind_no', {no}, 'end', x.end, 'kind', '{kind}', 'entity', concat('{kind}:', {_ENTITY[kind]}), 'belongs', {_GROUP[kind]}))"
         flagged = flagged.withColumn(kind, F.expr(f"case when {_NEEDS[kind]} then {made} else cast(array() as {_SPANS}) end"))
     return flagged.select("row", "id", "text", F.sort_array(F.concat(*KINDS[:4])).alias("spans"))
 
 
-#: A letter that stands for an address, so that letters that touch it are no word of their own.
-_MARK = "\ua78f"
-#: SQL for the text with each span replaced.
-_OUTSIDE = (
-    "concat(array_join(transform(spans, (b, i) -> concat(substring(text, coalesce(array_max(transform(slice(spans, 1, i), x -> x.end)), 0) + 1, b.start - coalesce(array_max(transform(slice(spans, 1, i), x -> x.end)), 0)), "
-    f"if(b.kind = 'email', '{_MARK}', ' '))), ''), substring(text, coalesce(array_max(transform(spans, x -> x.end)), 0) + 1))"
-)
-
-
 def _words(text: str) -> str:
     """SQL for the words of a text as they stand, each once."""
     return f"array_distinct(regexp_extract_all({text}, {_quoted(_TERM)}, 0))"
@@ -101,20 +129,22 @@ def _revealing(found: DataFrame, total: int) -> DataFrame:
     A term of disclosure d with an entity is in n(e)^d N^(1 - d) texts at most, so
     only entities of SUPPORT texts and terms below that bound are counted together.
     """
-    in_text = found.select("row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
-    entities = stored(in_text.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < total)), "personal-entities").df
+    information = F.log2(F.lit(float(total)) / F.col("n_e"))
+    in_text = found.select("row", F.explode(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.array(s["entity"], s["belongs"]))))).alias("entity"))
+    entities = stored(in_text.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < total) & (F.col("n_e") * information >= EVIDENCE)), "personal-entities").df
     # Counted within each task first, so what is shuffled is one row for each term and task.
     terms = stored(found.select(F.explode(F.expr(_terms("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= SUPPORT), "personal-terms").df
     bound = (entities.agg(F.max("n_e")).first()[0] or 0) ** GENERALISE * total ** (1 - GENERALISE) * (1 + 1e-9)
     frequent = [r.term for r in terms.where(F.col("n_t") > bound).orderBy(F.desc("n_t"), "term").limit(FREQUENT).collect()]
     held = in_text.join(entities, "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
-    words = F.array_except(F.expr(f"transform(filter({_words(_OUTSIDE)}, x -> not contains(x, '{_MARK}')), x -> lower(x))"), F.lit(frequent).cast("array<string>"))
+    outside = f"transform({_apart(_located('text', _quoted(_TERM)), 'spans')}, w -> lower(w.value))"
+    words = F.array_except(F.expr(f"array_distinct({outside})"), F.lit(frequent).cast("array<string>"))
     pairs = (
         found.where(F.size("spans") > 0).join(held, "row").select(F.explode("entities").alias("entity"), words.alias("words")).select("entity", F.explode("words").alias("term"))
         .groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
     )
-    disclosure = (F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))) / F.log2(F.lit(float(total)) / F.col("n_e"))
-    scored = pairs.join(entities, "entity").join(terms.where(F.col("n_t") <= bound), "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISE)
+    disclosure = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) / information
+    scored = pairs.join(entities, "entity").where(F.col("n_te") * information >= EVIDENCE).join(terms.where(F.col("n_t") <= bound), "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISE)
     return scored.groupBy("term").agg(F.max(F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")).alias("action"))
 
 
@@ -129,10 +159,7 @@ def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = found.select("row", F.explode(F.expr(_terms("text"))).alias("term")).join(revealing, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("revealing"))
     # All forms of the revealing terms of a text, as one pattern for whole words.
     words = f"filter({_words('text')}, x -> map_contains_key(revealing, lower(x)))"
-    marked = (
-        f"transform(filter({_located('text', 'pattern')}, x -> not exists(spans, o -> o.start < x.end and x.start < o.end)), "
-        "x -> named_struct('start', x.start, 'end', x.end, 'action', revealing[lower(x.value)]))"
-    )
+    marked = f"transform({_apart(_located('text', 'pattern'), 'spans')}, w -> named_struct('start', w.start, 'end', w.end, 'action', revealing[lower(w.value)]))"
     none = "cast(array() as array<struct<start:int,end:int,action:string>>)"
     joined = found.join(seen, "row", "left").withColumn("pattern", F.expr(f"concat(r'(?<!\\p{{L}})(?:', array_join({words}, '|'), r')(?!\\p{{L}})')"))
     return joined.select("row", "id", F.col("spans").alias("base"), F.expr(f"case when revealing is null then {none} else {marked} end").alias("terms"))

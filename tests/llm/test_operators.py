@@ -10,8 +10,10 @@ import zlib
 from collections import Counter
 
 import pytest
+import regex
 from evidentia.llm import html_text as H
 from evidentia.llm import near_dedup as N
+from evidentia.llm import personal_data as P
 from evidentia.llm.common import WORD, crc_mod, stored
 from evidentia.llm.components import components
 from evidentia.llm.exact_dedup import exact_dedup, keep_first_copies
@@ -183,6 +185,60 @@ def test_revealing_terms_anywhere(spark):
     assert got == {k: [(0, 8, "remove"), (end - 8, end, "remove")] for k in range(20)} | {50: [(len(far) + 1, len(far) + 9, "remove")]}
 
 
+def brute_terms(rows):
+    """Term spans of each text by counting in plain Python."""
+    low = lambda w: w.lower()
+    word = regex.compile(r"\p{L}{3,}")
+    digits = lambda m: re.sub(r"[^0-9]", "", m)
+    docs = []
+    for _, t, *_ in rows:
+        t, spans = t or "", spans_of(t)
+        names = set()
+        for a, _, b, kind in spans:
+            m = t[a:b]
+            names |= {"email": {f"email:{m.lower()}", f"domain:{m.lower().split('@')[-1]}"}, "ip": {f"ip:{m}", f"network:{'.'.join(m.split('.')[:3])}"}, "card": {f"card:{digits(m)}", f"issuer:{digits(m)[:6]}"}, "phone": {f"phone:{digits(m)}", f"block:{digits(m)[:-4]}"}}[kind]
+        free = [(m.start(), m.end(), low(m[0])) for m in word.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b, _ in spans)]
+        docs.append((t, names, free, {low(m[0]) for m in word.finditer(t)}))
+    n, n_e, n_t, n_te = len(docs), Counter(), Counter(), Counter()
+    for _, names, free, every in docs:
+        n_e.update(names)
+        n_t.update(every)
+        n_te.update((w, e) for w in {w for *_, w in free} for e in names)
+    action = {}
+    for (w, e), c in n_te.items():
+        ic = math.log2(n / n_e[e]) if n_e[e] < n else 0
+        if c >= 2 and ic and c * ic >= P.EVIDENCE and (d := math.log2(c * n / (n_t[w] * n_e[e])) / ic) >= P.GENERALISE:
+            action[w] = "remove" if d >= P.REMOVE or action.get(w) == "remove" else "generalise"
+    return Counter(tuple((a, b, action[w]) for a, b, w in free if w in action) for _, _, free, _ in docs)
+
+
+def test_revealing_terms_against_brute_force(spark):
+    rng = random.Random(11)
+    words = [a + b for a in "ka lo mi ru te zu".split() for b in "nat sol pim dur vek".split()]
+    people = [(f"p{k}.x@m{k % 3}.org", f"Name{'abcdefgh'[k]}", f"10.0.{k}.7") for k in range(8)]
+    rows = []
+    for k in range(400):
+        t = [rng.choice(words) for _ in range(rng.randint(3, 12))]
+        if k % 5 == 0:
+            mail, name, host = rng.choice(people)
+            for x in (mail, name, *([host] if k % 2 else [])):
+                t.insert(rng.randrange(len(t) + 1), x)
+            if k % 3:
+                t.append("Teamred" if mail.endswith("m1.org") else "both")
+        rows.append((k, " ".join(t), "en", "a"))
+    rows += [(None, rows[5][1], "en", "a"), (5, rows[5][1], "en", "a"), (900, None, None, None), (901, "", None, None)]
+    got = Counter(tuple((t.start, t.end, t.action) for t in r.terms) for r in sanitise_spans(table(spark, rows)).collect())
+    assert got == brute_terms(rows)
+    assert sum(len(k) * n for k, n in got.items()) > 50
+
+
+def test_many_spans_in_one_text(spark):
+    """Thousands of spans and words in one text: positions are right across the blocks of the folds."""
+    text = " ".join(f"word{'abcdefgh'[k % 8]} u{k}@m{k}.org" for k in range(1500))
+    got = span_digests(table(spark, [(1, text, "en", "a")])).first()
+    assert got.spans == ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[a-z0-9]+@[a-z0-9.]+", text))
+
+
 def test_mix_targets():
     assert mix_targets([10, 100, 90], [1, 2, 3]) == pytest.approx([30, 170 * 2 / 5, 170 * 3 / 5])
     assert mix_targets([], [1]) == [] and mix_targets([0, 0], [1, 2]) == [0, 0]
