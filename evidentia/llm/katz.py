@@ -10,14 +10,14 @@ a(u) is what makes each history's probabilities sum to one exactly.
 The corpus is held as chunks of about CHUNK_TOKENS tokens.  Words get numbers by
 falling count, so that a number alone gives a word's count (``Classes``), and
 numbers of frequent words are short.  N-grams are kept and scored in buckets by
-history.  A history that is too frequent for one bucket is spread over all by
-its successors; what its backoff weight needs is summed over the buckets.
+history.  A history that would take up more than a part (an eighth) of a bucket
+is spread over as many buckets as it has parts, by its successors; what its
+backoff weight needs is summed over those buckets and goes back to them alone.
 
 All tables between the steps (chunks, vocabulary, n-grams of each chunk, counted
 n-grams) are partitioned tables in the shared folder; nothing that grows with
 the corpus goes through the driver, except one number for each distinct word
-count (at most the root of twice the number of tokens) and a few for each
-spread history (eight a bucket at most).
+count (at most the root of twice the number of tokens).
 """
 
 from __future__ import annotations
@@ -30,15 +30,19 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import shuffle_partitions, stored, whole
 from .packing import give_back, pack, unpack
+from .prefix_sums import running_sums
 from .shingles import word_hashes
 
 CHUNK_TOKENS = 1_000_000
 #: Tokens that a bucket of n-grams has, about.
 BUCKET_TOKENS = 1_000_000
+#: Words of chunks that a bucket of the vocabulary has, about.
+BUCKET_WORDS = 2_000_000
+#: Parts of a bucket: a history that needs more than one is spread.
+PARTS = 8
 #: Counts above this are not discounted.
 K = 5
 #: What the base adds to each count.
@@ -188,10 +192,11 @@ def _number_words(v: int):
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _spread(x: np.ndarray, buckets: int) -> np.ndarray:
+def _spread(x: np.ndarray, buckets: int | np.ndarray) -> np.ndarray:
+    """A number below ``buckets`` for each x."""
     x = x.astype(np.uint64) * _MIX
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((x >> np.uint64(32)) * np.asarray(buckets, np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
 def _key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -199,12 +204,34 @@ def _key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return u.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64)
 
 
+class Layout:
+    """Which bucket a pair of a history and a successor is in."""
+
+    def __init__(self, classes: Classes, buckets: int):
+        self.classes, self.buckets = classes, buckets
+        self.part = max(1, classes.tokens // (PARTS * buckets))
+
+    def parts(self, u: np.ndarray) -> np.ndarray:
+        """Over how many parts each history is spread."""
+        return np.maximum(1, -(-self.classes.history_count(u) // self.part))
+
+    def bucket(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return _spread(_key(u, _spread(_key(u, v), self.parts(u))), self.buckets)
+
+    def buckets_of(self, u: int) -> np.ndarray:
+        """Those that pairs of the history may be in."""
+        n = int(self.parts(np.array([u]))[0])
+        return np.unique(_spread(_key(np.full(n, u), np.arange(n)), self.buckets))
+
+
 _GRAMS = "bucket int, chunk long, history binary, next binary, times binary, learned binary, texts binary, ids array<long>, held_out binary, n_tokens binary, n_known binary, base binary"
 
 
-def _pairs(classes: Classes, buckets: int, hot: int):
+def _pairs(layout: Layout):
     """Each chunk's pairs by bucket (with the texts that have them), and a row with bucket -1 with what its texts have of their own."""
 
+    classes, buckets = layout.classes, layout.buckets
+
     def run(table: pa.Table) -> pa.Table:
         give_back()
         rows = table.to_pylist()
@@ -220,7 +247,7 @@ def _pairs(classes: Classes, buckets: int, hot: int):
         base = np.add.reduceat(classes.base(klass), starts)
         known = np.add.reduceat((v < classes.v).astype(np.int64), starts)
         out = [{"bucket": -1, "chunk": own["chunk"], "ids": own["ids"], "held_out": pack(~train), "n_tokens": pack(lengths), "n_known": pack(known), "base": pack(base)}]
-        bucket = np.where((u < hot) | (u == classes.v + 1), _spread(_key(u, v), buckets), _spread(u, buckets))
+        bucket = layout.bucket(u, v)
         key = _key(u, v)
         order = np.lexsort((key, bucket))
         bucket, key, text = bucket[order], key[order], text[order]
@@ -249,7 +276,9 @@ def _history_sums(u: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple[np.ndarr
     return u[first], np.c_[tuple(parts) + (np.add.reduceat(np.where(c > K, c, 0).astype(float), first), np.add.reduceat(p, first))]
 
 
-def _count_pairs(classes: Classes, hot: int):
+def _count_pairs(layout: Layout):
+    classes = layout.classes
+
     def run(table: pa.Table) -> pa.Table:
         give_back()
         key = np.concatenate([_key(unpack(u), unpack(v)) for u, v in zip(table["history"].to_pylist(), table["next"].to_pylist(), strict=True)])
@@ -258,7 +287,7 @@ def _count_pairs(classes: Classes, hot: int):
         keys, at = np.unique(key, return_inverse=True)
         c = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
         u, v = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        spread = (u < hot) | (u == classes.v + 1)
+        spread = layout.parts(u) > 1
         histories, sums = _history_sums(u[spread], c[spread], classes.p[classes.of(v[spread])])
         return pa.table(
             {
@@ -285,22 +314,39 @@ def backoff(sums: np.ndarray, count: np.ndarray, d: np.ndarray) -> tuple[np.ndar
     return total, (total - kept) / total / (1 - sums[:, K + 1])
 
 
-def _score_pairs(classes: Classes, d: np.ndarray, hot: int, hot_weights: dict[int, tuple[float, float]]):
+def _weights(layout: Layout, d: np.ndarray):
+    """Of spread histories, with their sums over all buckets, what scoring needs, once for each bucket that has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            histories = batch.column(0).to_numpy(zero_copy_only=False)
+            sums = np.column_stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(K + 2)]) if len(histories) else np.empty((0, K + 2))
+            total, weight = backoff(sums, layout.classes.history_count(histories), d)
+            to = [layout.buckets_of(h) for h in histories.tolist()]
+            times = [len(x) for x in to]
+            yield pa.record_batch([pa.array(np.concatenate([*to, np.empty(0, np.int64)]), pa.int32()), pa.array(np.repeat(histories, times)), pa.array(np.repeat(total, times).astype(float)), pa.array(np.repeat(weight, times))], names=["bucket", "history", "total", "weight"])
+
+    return run
+
+
+def _score_pairs(layout: Layout, d: np.ndarray):
+    classes = layout.classes
+
     def run(table: pa.Table) -> pa.Table:
         give_back()
         rows = table.to_pylist()
         keys = c = np.empty(0, np.int64)
+        hot = sorted((x["history"], x["total"], x["weight"]) for r in rows for x in r["spread"] or ())
         for r in rows:
-            if r["texts"] is None:
+            if r["texts"] is None and r["history"] is not None:
                 keys, c = _key(unpack(r["history"]), unpack(r["next"])), unpack(r["times"])
         u, v = (keys.astype(np.uint64) >> np.uint64(32)).astype(np.int64), (keys.astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        own = ~((u < hot) | (u == classes.v + 1))
+        own = layout.parts(u) == 1
         histories, sums = _history_sums(u[own], c[own], classes.p[classes.of(v[own])])
         total, weight = backoff(sums, classes.history_count(histories), d)
-        spread = np.array(sorted(hot_weights), np.int64)
-        histories = np.concatenate([histories, spread])
-        total = np.concatenate([total, [hot_weights[h][0] for h in spread]])
-        weight = np.concatenate([weight, [hot_weights[h][1] for h in spread]])
+        histories = np.concatenate([histories, np.array([h for h, *_ in hot], np.int64)])
+        total = np.concatenate([total, np.array([t for _, t, _ in hot], float)])
+        weight = np.concatenate([weight, np.array([w for *_, w in hot], float)])
         order = np.argsort(histories)
         histories, total, weight = histories[order], total[order], weight[order]
 
@@ -363,7 +409,8 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     chunks = stored(texts.mapInArrow(_chunks, _CHUNK), "lm-chunks")
 
     # The vocabulary, in buckets by hash, each in order of falling count.
-    word_buckets = max(shuffle_partitions(spark), 16)
+    held = chunks.df.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("n")).first().n // 8
+    word_buckets = int(max(shuffle_partitions(spark), 16, held // BUCKET_WORDS))
     asked = chunks.df.select("chunk", "words", "counts").mapInArrow(_by_word(word_buckets), "bucket int, chunk long, words binary, counts binary")
     vocabulary = stored(asked.groupBy("bucket").applyInArrow(_count_words, "bucket int, words binary, counts array<long>, types array<long>"), "lm-vocabulary")
     by_count = vocabulary.df.select("bucket", F.inline(F.arrays_zip("counts", "types"))).toDF("bucket", "count", "types")
@@ -373,8 +420,8 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     if classes.v + 1 >= 1 << 32:
         raise ValueError("more than 2**32 distinct words")
     starts = spark.createDataFrame([(int(c), int(s)) for c, s in zip(classes.count[:-1], classes.start[:-1], strict=True)], "count long, class_start long") if counts else spark.createDataFrame([], "count long, class_start long")
-    earlier = Window.partitionBy("count").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = by_count.withColumn("earlier", F.coalesce(F.sum("types").over(earlier), F.lit(0))).join(starts, "count").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("order"), (F.col("class_start") + F.col("earlier")).alias("start")))).alias("placed"))
+    earlier = running_sums(by_count, ["count", "bucket"], "types", within="count", label="lm-classes")
+    placed = earlier.join(starts, "count").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("order"), (F.col("class_start") + F.col("before")).alias("start")))).alias("placed"))
     words = vocabulary.df.join(placed, "bucket").select("bucket", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("words"), F.col("words").alias("vocabulary"), F.col("placed.start").alias("starts"), "types")
     requests = asked.select("bucket", "chunk", "words", F.lit(None).cast("binary").alias("vocabulary"), F.lit(None).cast("array<long>").alias("starts"), F.lit(None).cast("array<long>").alias("types"))
     numbered = requests.union(words).groupBy("bucket").applyInArrow(_number_words(classes.v), "chunk long, bucket int, numbers binary")
@@ -382,28 +429,28 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     # Pairs, in buckets by history.  The numbers of the most frequent histories are the smallest.
     all_tokens = classes.tokens / max(train_texts, 1) * max(texts.count(), 1)
     buckets = int(max(shuffle_partitions(spark), 16, all_tokens // BUCKET_TOKENS))
-    # Spread: histories that would take up more than an eighth of a bucket; there are eight a bucket at most, and far fewer in a text.
-    hot = int(classes.start[np.count_nonzero(classes.count > classes.tokens // (8 * buckets))])
+    layout = Layout(classes, buckets)
     none = F.lit(None)
     left = chunks.df.select("chunk", "ids", "train", "lengths", "tokens", none.cast("int").alias("bucket"), none.cast("binary").alias("numbers"))
     right = numbered.select("chunk", none.cast("array<long>").alias("ids"), *(none.cast("binary").alias(c) for c in ("train", "lengths", "tokens")), "bucket", "numbers")
-    pairs = stored(left.union(right).groupBy("chunk").applyInArrow(_pairs(classes, buckets, hot), _GRAMS), "lm-pairs")
+    pairs = stored(left.union(right).groupBy("chunk").applyInArrow(_pairs(layout), _GRAMS), "lm-pairs")
     chunks.drop()
     vocabulary.drop()
 
-    counted = stored(pairs.df.where("bucket >= 0").select("bucket", "history", "next", "learned").groupBy("bucket").applyInArrow(_count_pairs(classes, hot), _COUNTED), "lm-counted")
+    counted = stored(pairs.df.where("bucket >= 0").select("bucket", "history", "next", "learned").groupBy("bucket").applyInArrow(_count_pairs(layout), _COUNTED), "lm-counted")
     with_count = counted.df.select(F.posexplode("with_count").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
     d = discounts({r.r + 1: r.n for r in with_count})
-    spread = counted.df.select(F.inline("spread")).groupBy("history").agg(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(K + 2))).collect()
-    histories = np.array([r.history for r in spread], np.int64)
-    total, weight = backoff(np.array([[r[f"s{k}"] for k in range(K + 2)] for r in spread]).reshape(-1, K + 2), classes.history_count(histories), d)
-    hot_weights = {int(h): (float(t), float(w)) for h, t, w in zip(histories, total, weight, strict=True)}
-
-    model = counted.df.select("bucket", none.cast("long").alias("chunk"), "history", "next", "times", none.cast("binary").alias("texts"))
-    there = pairs.df.where("bucket >= 0").select("bucket", "chunk", "history", "next", "times", "texts")
-    scored = there.union(model).groupBy("bucket").applyInArrow(_score_pairs(classes, d, hot, hot_weights), "bucket int, chunk long, texts binary, score binary")
+    sums = counted.df.select(F.inline("spread")).groupBy("history").agg(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(K + 2)))
+    weights = sums.mapInArrow(_weights(layout, d), "bucket int, history long, total double, weight double").groupBy("bucket").agg(F.collect_list(F.struct("history", "total", "weight")).alias("spread"))
+
+    blobs = ("history", "next", "times", "texts")
+    kind = "array<struct<history: long, total: double, weight: double>>"
+    model = counted.df.select("bucket", none.cast("long").alias("chunk"), "history", "next", "times", none.cast("binary").alias("texts"), none.cast(kind).alias("spread"))
+    there = pairs.df.where("bucket >= 0").select("bucket", "chunk", *blobs, none.cast(kind).alias("spread"))
+    heavy = weights.select("bucket", none.cast("long").alias("chunk"), *(none.cast("binary").alias(c) for c in blobs), "spread")
+    scored = there.union(model).union(heavy).groupBy("bucket").applyInArrow(_score_pairs(layout, d), "bucket int, chunk long, texts binary, score binary")
     own = ("ids", "held_out", "n_tokens", "n_known", "base")
     kinds = {"ids": "array<long>"}
-    sums = scored.select("chunk", "bucket", "texts", "score", *(none.cast(kinds.get(c, "binary")).alias(c) for c in own))
+    by_text = scored.select("chunk", "bucket", "texts", "score", *(none.cast(kinds.get(c, "binary")).alias(c) for c in own))
     base = pairs.df.where("bucket = -1").select("chunk", "bucket", none.cast("binary").alias("texts"), none.cast("binary").alias("score"), *own)
-    return base.union(sums).groupBy("chunk").applyInArrow(_sum_up(classes.tokens), _RESULT).withColumnRenamed("id", id_col)
+    return base.union(by_text).groupBy("chunk").applyInArrow(_sum_up(classes.tokens), _RESULT).withColumnRenamed("id", id_col)

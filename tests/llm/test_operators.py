@@ -9,16 +9,18 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import regex
 from evidentia.llm import html_text as H
+from evidentia.llm import katz as K
 from evidentia.llm import near_dedup as N
 from evidentia.llm import personal_data as P
 from evidentia.llm.common import WORD, crc_mod, stored
 from evidentia.llm.components import components
 from evidentia.llm.exact_dedup import exact_dedup, keep_first_copies
 from evidentia.llm.html_text import extract_text, main_text
-from evidentia.llm.katz import Classes, backoff, discounts, katz_scores
+from evidentia.llm.katz import Classes, katz_scores
 from evidentia.llm.language import identify_language, language_profiles, with_language
 from evidentia.llm.mixing import mix_sources, mix_targets, take_mix
 from evidentia.llm.near_dedup import keep_one_of_each, near_duplicates
@@ -88,46 +90,81 @@ def test_exact_dedup_over_partitions(spark):
     assert {r.group_size for r in same} == {2000} and {r.keep_id for r in same} == {2} and sum(r.kept for r in same) == 1
 
 
-def test_katz(odd, empty, spark):
-    got = katz_scores(odd, crc_mod("doc_id", 10) != 0).collect()
-    assert len(got) == len(odd_rows())
-    key = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
-    toks = [(i, [w.decode() for w in (t or "").encode().lower().split()] + ["\n"]) for i, t, *_ in odd_rows()]
-    uni, bi = Counter(), Counter()
-    for i, t in toks:
-        if key(i):
-            uni.update(t)
-            bi.update(zip(["\t", *t[:-1]], t, strict=True))
-    n, v = sum(uni.values()), len(uni)
-    classes = Classes(sorted(Counter(uni.values()).items()), sum(key(i) != 0 for i, _ in toks))
-    p1 = {w: float(classes.p[list(classes.count).index(c)]) for w, c in uni.items()}
-    assert math.isclose(sum(p1.values()) + classes.p[-1], 1)
-    d = discounts(Counter(bi.values()))
-    hist = {}
+def brute_discounts(counts, most=5):
+    """Katz's own formula: d_r = (r*/r - q) / (1 - q)."""
+    n = Counter(counts)
+    out = {}
+    for r in range(1, most + 1):
+        q = (most + 1) * n[most + 1] / n[1] if n[1] else 1
+        x = ((r + 1) * n[r + 1] / n[r] / r - q) / (1 - q) if n[r] and q < 1 else 1
+        out[r] = x if 0 < x < 1 else 1
+    return out
+
+
+def brute_katz(train):
+    """A model as a function from (u, w) to a probability, by sums over whole dictionaries."""
+    uni, bi = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["\t", *t[:-1]], t, strict=True))
+    if not uni:
+        return uni, lambda u, w: 1.0
+    d1, d2 = brute_discounts(uni.values()), brute_discounts(bi.values())
+    cut = lambda c, d: c * d.get(c, 1)
+    total = sum(uni.values())
+    if math.isclose(sum(cut(c, d1) for c in uni.values()), total, rel_tol=1e-9):
+        total += 1
+    p1 = {w: cut(c, d1) / total for w, c in uni.items()}
+    unknown = 1 - math.fsum(p1.values())
+    after = {}
     for (u, w), c in bi.items():
-        hist.setdefault(u, {})[w] = c
+        after.setdefault(u, {})[w] = c
 
     def prob(u, w):
-        import numpy as np
+        if u not in after:
+            return p1.get(w, unknown)
+        s = after[u]
+        n = sum(s.values())
+        n += math.isclose(sum(cut(c, d2) for c in s.values()), n, rel_tol=1e-9)
+        if w in s:
+            return cut(s[w], d2) / n
+        left = 1 - math.fsum(cut(c, d2) / n for c in s.values())
+        return left / (1 - math.fsum(p1[x] for x in s)) * p1.get(w, unknown)
 
-        if u not in hist:
-            return p1.get(w, classes.p[-1])
-        s = hist[u]
-        sums = np.array([[*(sum(c == r for c in s.values()) for r in range(1, 6)), sum(c for c in s.values() if c > 5), sum(p1[x] for x in s)]], float)
-        total, a = backoff(sums, np.array([sum(s.values())]), d)
-        return (d[s[w]] if s[w] <= 5 else 1) * s[w] / total[0] if w in s else a[0] * p1.get(w, classes.p[-1])
+    return uni, prob
 
-    for u in list(hist)[:40]:  # each history's probabilities sum to one, unknown words included
-        assert math.isclose(sum(prob(u, w) for w in uni) + prob(u, "never seen"), 1, rel_tol=1e-9)
+
+def check_katz(spark, rows, docs):
+    key = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
+    got = katz_scores(docs, crc_mod("doc_id", 10) != 0).collect()
+    toks = [(i, [w.decode() for w in (t or "").encode().lower().split()] + ["\n"]) for i, t, *_ in rows]
+    uni, prob = brute_katz([t for i, t in toks if key(i)])
+    n, v = sum(uni.values()), len(uni)
     want = Counter((i, len(t), sum(w in uni for w in t), round(sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6), round(sum(math.log10(prob(u, w)) for u, w in zip(["\t", *t[:-1]], t, strict=True)), 6)) for i, t in toks)
-    have = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got)
-    assert have == want
-    assert {r.train_tokens for r in got} == {n} and all(r.held_out == (key(r.doc_id) == 0) for r in got)
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+    assert {r.train_tokens for r in got} <= {n} and all(r.held_out == (key(r.doc_id) == 0) for r in got)
+    return uni, prob
+
+
+def test_katz(odd, empty, spark):
+    uni, prob = check_katz(spark, odd_rows(), odd)
+    for u in ["\t", *list(uni)[:40]]:  # each history's probabilities sum to one, unknown words included
+        assert math.isclose(sum(prob(u, w) for w in uni) + prob(u, "never seen"), 1, rel_tol=1e-9)
     assert katz_scores(empty, crc_mod("doc_id", 10) != 0).count() == 0
     nothing = katz_scores(odd, F.lit(False)).collect()
     assert {r.score for r in nothing} == {0.0} and {r.n_known for r in nothing} == {0}
 
 
+def test_katz_with_spread_histories(spark, monkeypatch):
+    """Many chunks and buckets, and words so frequent that their pairs are spread over parts."""
+    rng = random.Random(4)
+    words = ["the"] * 40 + ["of"] * 20 + [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))), "en", "a") for k in range(400)] + [(9000 + k, "the of w1 w2 the of", "en", "a") for k in range(150)]
+    check_katz(spark, rows, table(spark, rows).repartition(7))
+    layout = K.Layout(Classes(sorted(Counter(Counter(w for _, t, *_ in rows for w in t.split()).values()).items()), len(rows)), 16)
+    parts = layout.parts(np.arange(layout.classes.v + 2))
+    assert parts[0] > 8 and parts[-3] == 1 and parts[layout.classes.v + 1] > 1
+    u, v = np.zeros(500, np.int64), np.arange(500)
+    assert set(layout.bucket(u, v)) <= set(layout.buckets_of(0)) and len(set(layout.bucket(u, v))) > 4
+
+
 PII = [
     "mail a.b+c@ex-ample.co.uk, or x@y.z_w@q.r; 10.0.0.255 and 1.2.3.256 and 1.2.3.4.5.6.7.8",
     "card 4111 1111 1111 1111 or 4111-1111-1111-1112 call +49 (30) 123-4567 now, +1 2",
