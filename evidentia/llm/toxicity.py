@@ -33,7 +33,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
 STEM = (4, 8)
 #: Rows that must have an entry or an exception phrase, the least log odds of an entry, and the least
 #: root of its likelihood ratio; the same evidence counts alike in samples of any size.
-SUPPORT, LEAST_ODDS, LEAST_Z = 3, 2.0, 4.0
+SUPPORT, LEAST_ODDS, LEAST_Z = 3, 3.0, 4.0
 #: The curve where there is nothing to fit one to: every text is clean.
 NO_CURVE = (-6.0, 0.0, 0.0)
 
@@ -187,9 +187,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     """Lexicon and curve from labelled rows that have ``learn`` (a condition on the id).
 
     Learned from a sample bounded by SAMPLE_TOXIC and SAMPLE_CLEAN, chosen by a
-    hash of the id; rows of a null id or label, or labelled both ways, are left
-    out.  Without labels of both kinds, or without documents that have them,
-    every text scores the same, next to 0.
+    hash of the id, with equal texts of one label once; rows of a null id or
+    label, or labelled both ways, are left out.  Without labels of both kinds,
+    or without documents that have them, every text scores the same, next to 0.
     """
     spark = docs.sparkSession
     marked = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("most")).where("y = most and y in (0, 1)")
@@ -198,10 +198,11 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
         return {"weights": {}, "exceptions": [], "curve": list(NO_CURVE)}
     unit = F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.when(F.col("y") == 1, SAMPLE_TOXIC / sizes[1]).otherwise(SAMPLE_CLEAN / sizes[0])
-    ids = marked.where(unit < share).select("id", "y", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(2)).cast("int").alias("fold"))
+    ids = marked.where(unit < share).select("id", "y")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole(F.col(text_col)).alias("text"))
-    # The ids are bounded by the sample's size.
-    sample = stored(texts.join(F.broadcast(ids), "id").select("fold", "y", "text"), "toxicity-sample")
+    # The ids are bounded by the sample's size.  Copies of a text are no further evidence, and are in one half.
+    fold_of = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(2)).cast("int")
+    sample = stored(texts.join(F.broadcast(ids), "id").select("y", "text").distinct().select(fold_of.alias("fold"), "y", "text"), "toxicity-sample")
     counts = {r: n for *r_, n in (tuple(x) for x in sample.df.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()) for r in [tuple(r_)]}
 
     def count(only: frozenset | None):
