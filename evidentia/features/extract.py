@@ -174,7 +174,6 @@ def extract_features(records: DataFrame, as_of: str, similarities: str | None =
         {
             "skill_rows": F.transform("skills", skill),
             "career_tokens": T.union_sets(unhedged),
-            "role_tokens": T.union_sets(F.transform("roles", lambda r: _tokens(r["description"]))),
             "role_words": F.array_distinct(F.flatten(F.transform("roles", lambda r: F.split(F.lower(r["description"]), r"\s+")))),
             "n_roles": F.size("roles").cast("double"),
         }
@@ -183,7 +182,7 @@ def extract_features(records: DataFrame, as_of: str, similarities: str | None =
     n = F.col("n_roles")
     cells = {column("career", k): c for k, c in _career(n).items()}
     competency = _competencies(F.col(similarities) if similarities else None, anchors)
-    kept = ["candidate_id", "profile", "career_history", "education", "skills", signals, "roles", "skill_rows", "role_tokens", "role_words", "career_tokens", "n_roles", *keep]
+    kept = ["candidate_id", "profile", "career_history", "education", "skills", signals, "roles", "skill_rows", "role_words", "career_tokens", "n_roles", *keep]
     df = df.select(*kept, *([similarities] if similarities and similarities not in kept else []), *(c.alias(k) for k, c in cells.items()), *competency)
 
     # Signals, places, studies: from the record alone.
@@ -234,6 +233,7 @@ def extract_features(records: DataFrame, as_of: str, similarities: str | None =
             "notice__over_30": _flag(s["notice_period_days"] > 30),
             "saves": saves,
             "github_known": github != -1,
+            "offer_known": offered != -1,
             "reliability": F.when(offered != -1, K.mean_of(interview, K.unit(offered))).otherwise(interview),
             "unknowns": K.mean_of(_flag(github == -1), _flag(offered == -1), _flag(F.size(scores) == 0)),
             "bhv__interview_reliability": interview,
@@ -261,8 +261,8 @@ def extract_features(records: DataFrame, as_of: str, similarities: str | None =
             "resp__reliable": K.mean_of(c("resp__rate"), c("resp__speed")),
             "eng__velocity": K.unit(0.5 * c("eng__active") + 0.5 * c("eng__passive")),
             "cons__title_role_coherence": T.overlap_ratio(title_tokens, _tokens(F.coalesce(current, F.lit("")))),
-            "cons__skill_role_coherence": T.overlap_ratio(T.union_sets(F.transform("skill_rows", lambda x: x["tokens"])), c("role_tokens")),
-            "cons__summary_coherence": T.overlap_ratio(F.array_union(_tokens(p["summary"]), _tokens(p["headline"])), F.array_union(c("role_tokens"), title_tokens)),
+            "cons__skill_role_coherence": T.overlap_ratio(T.union_sets(F.transform("skill_rows", lambda x: x["tokens"])), c("career_tokens")),
+            "cons__summary_coherence": T.overlap_ratio(F.array_union(_tokens(p["summary"]), _tokens(p["headline"])), F.array_union(c("career_tokens"), title_tokens)),
             "bhv__market_demand": K.mean_of(c("eng__passive"), c("saves")),
             "bhv__recruitability": K.mean_of(c("avail__open"), c("resp__reliable"), c("saves")),
         }
@@ -321,6 +321,7 @@ def _detectors(df: DataFrame, day: Column, s: Column, p: Column) -> DataFrame:
             "hp__timeline_impossible": _flag(impossible),
             "n_unused": unused,
             "n_stuffed": stuffed,
+            "inflation_gap": gap,
             "hp__employment_overlap": K.bounded_log(overlaps, 24),
             "hp__title_seniority_anomaly": F.when(K.any_cue(F.lower(p["current_title"]), Q.SENIORITY_CUES) & (years < 4), K.unit((4 - years) / 4)).otherwise(0.0),
             "hp__education_career_anomaly": F.when(F.coalesce(first_role < first_study - 1, F.lit(False)), 1.0).when(F.exists(edu, lambda e: e["end_year"] - e["start_year"] > 15), 0.8).otherwise(0.0),
@@ -378,11 +379,20 @@ def _confidences() -> dict[str, Column]:
     text = K.unit(0.30 + 0.55 * share + 0.10 * factor)
     mixed = K.unit(F.greatest(text, 0.5 * struct))
     trajectory = K.unit(0.5 * (struct + text))
+    place = F.when(c("location_fit") == "hub", 0.95).when(c("location_fit") == "non_relocatable", 0.5).otherwise(0.85)
+    field = F.when(c("edu__field_relevance") > 0, 0.9).otherwise(0.5)
+    # Of the detectors in their order, and the composite, which is as sure as the surest.
+    detectors = [
+        F.when(c("hp__timeline_impossible") > 0, 0.97).otherwise(0.9), K.unit(0.4 + 0.1 * c("n_unused")), F.lit(0.6), F.lit(0.55), F.when(c("hp__education_career_anomaly") >= 0.8, 0.95).otherwise(0.85), F.lit(0.4),
+        K.unit(0.5 + 0.1 * c("inflation_gap")), K.unit(0.4 + 0.05 * c("n_stuffed")), F.lit(0.6), F.lit(0.95), F.lit(0.7),
+    ]
     out = {
-        "id": F.lit(1.0), "geo": F.lit(0.9), "exp": (F.lit(1.2) + struct) / 3, "sen": (trajectory + text) / 2, "edu": F.lit(0.8), "co": (struct + mixed) / 2, "pvs": mixed,
+        "id": F.lit(1.0), "geo": place, "exp": (F.lit(1.2) + struct) / 3, "sen": (trajectory + text) / 2, "edu": F.when(F.size("education") > 0, (F.lit(0.95 + 0.98) + field) / 3).otherwise(0.3), "co": (struct + mixed) / 2, "pvs": mixed,
         "oss": F.when(c("github_known"), (0.95 + 0.6) / 2).otherwise((0.15 + 0.4) / 2), "lead": text, "startup": (0.5 + mixed) / 2, "found": F.lit(0.4), "avail": F.lit(0.95), "eng": F.lit(0.95), "resp": F.lit(0.95),
-        "sal": F.lit(0.6), "reloc": F.lit(0.9), "notice": F.lit(0.9), "bhv": F.lit(0.88),
-        "career": (trajectory + 4 * struct + 5 * text + 4 * mixed) / 14, "cons": F.lit((0.7 + 0.7 + 0.6) / 3), "risk": F.lit((0.7 + 0.7 + 0.8) / 3), "hp": F.lit(0.75), "jd": F.lit(1.0),
+        "sal": F.lit((0.3 + 0.9) / 2), "reloc": (F.lit(0.95) + place) / 2, "notice": F.lit(0.95),
+        # Fourteen cells of fixed confidence, and the hiring proxy, which is less sure without an offer rate.
+        "bhv": (F.lit(6 * 0.95 + 2 * 0.9 + 4 * 0.8 + 0.85 + 0.7) + F.when(c("offer_known"), 0.9).otherwise(0.5)) / 15,
+        "career": (trajectory + 4 * struct + 5 * text + 4 * mixed) / 14, "cons": F.lit((0.7 + 0.7 + 0.6) / 3), "risk": F.lit((0.7 + 0.7 + 0.8) / 3), "hp": K.mean_of(*detectors, F.greatest(*detectors)), "jd": F.lit(1.0),
     }
     for g in Q.CONCEPTS:
         sources = _flag(c(column(g, "trust")) > 0) + _flag(c(column(g, "in_career")) > 0) + _flag(c(f"{g}__known"))

@@ -43,7 +43,7 @@ _AFTER = {
         "experience_inflation", "keyword_stuffing", "behavioral_inconsistency", "signal_impossibility", "identity_anomaly", "composite",
     ),
     "jd": (
-        "retrieval_ranking", "production_ml", "product_company", "hybrid_retrieval", "eval_framework", "shipping_mentality",
+        "retrieval_ranking", "production_ml", "product_company", "shipping_mentality", "eval_framework", "hybrid_retrieval",
         "keyword_only", "consulting_only", "title_chaser", "pure_researcher", "framework_enthusiast", "inactive",
     ),
 }

@@ -10,8 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Words that carry no meaning of their own.
-STOPWORDS = ("a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with", "at")
+from evidentia.features.cues import STOPWORDS
 
 
 @F.pandas_udf(StringType())
@@ -20,12 +19,6 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def casefold(texts: pd.Series) -> pd.Series:
-    """Full case folding; ``lower`` leaves a sharp s."""
-    return texts.map(lambda t: unicodedata.normalize("NFC", t).casefold(), na_action="ignore")
-
-
 def composed(text: Column) -> Column:
     """NFC; texts that are plain ASCII, which it leaves alone, go to Python as null."""
     return F.coalesce(nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)

@@ -47,9 +47,10 @@ def integrity_verdict(gates: Sequence[Gate], threshold: float = 0.7, hard_needed
     return (F.size(fired(gates, True)) >= hard_needed) | (integrity_score(gates) >= threshold)
 
 
-def histogram(df: DataFrame, codes: str) -> DataFrame:
-    """AGG-12: how many rows have each code."""
-    return df.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+def histogram(df: DataFrame, *codes: str) -> DataFrame:
+    """AGG-12: how many rows have each code of some columns of codes; rows alike are counted first, so few arrays are taken apart."""
+    alike = df.groupBy(*codes).agg(F.count("*").alias("__rows"))
+    return alike.select(F.explode(F.concat(*codes)).alias("code"), "__rows").groupBy("code").agg(F.sum("__rows").alias("n"))
 
 
 def prevalence(df: DataFrame, flags: Sequence[str]) -> DataFrame:
@@ -58,6 +59,38 @@ def prevalence(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     return sums.select("rows", F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.col(f).alias("fired")) for f in flags))).alias("x")).select("x.flag", "x.fired", "rows", F.try_divide(F.col("x.fired"), F.col("rows")).alias("share"))
 
 
+def verdicts(df: DataFrame, id_col: str, gates: Sequence[Gate]) -> DataFrame:
+    """G-O8: (id, codes, hard_count, composite) of every row; the composite is the sum of the weights of what fired, within [0, 1]."""
+    return df.select(id_col, fired(gates).alias("codes"), F.size(fired(gates, True)).alias("hard_count"), F.round(integrity_score(gates), 6).alias("composite"))
+
+
+def calibrated_threshold(found: DataFrame) -> DataFrame:
+    """G-O9: one row, ``threshold``: above what any row without a hard finding reaches, 0.7 at least."""
+    return found.agg(soft_threshold(F.coalesce(F.max(F.when(F.col("hard_count") == 0, F.col("composite"))), F.lit(0.0))).alias("threshold"))
+
+
+def suspects(found: DataFrame, hard_needed: int = 2) -> DataFrame:
+    """G-O10: verdicts with enough hard findings or a composite that reaches the threshold, which is one row sent to all."""
+    cut = found.crossJoin(F.broadcast(calibrated_threshold(found)))
+    return cut.where((F.col("hard_count") >= hard_needed) | (F.col("composite") >= F.col("threshold")))
+
+
+def rule_set(found: DataFrame, gates: Sequence[Gate]) -> DataFrame:
+    """G-O11, G-O13: (code, severity, fired, rows) of each gate, also of those that never fire; one scan."""
+    sums = found.agg(F.count("*").alias("rows"), *(F.count_if(F.array_contains("codes", g.code)).alias(g.code) for g in gates))
+    cells = F.array(*(F.struct(F.lit(g.code).alias("code"), F.lit("HARD" if g.hard else "SOFT").alias("severity"), F.col(g.code).alias("fired")) for g in gates))
+    return sums.select("rows", F.explode(cells).alias("x")).select("x.code", "x.severity", "x.fired", "rows")
+
+
+def catalogue(found: DataFrame, id_col: str, cap: int = 200) -> DataFrame:
+    """G-O12, T-4: the suspects by id; the first ``cap`` are exemplars with their codes, the others ids alone."""
+    chosen = suspects(found)
+    first = chosen.orderBy(id_col).limit(cap).select(F.col(id_col).alias("__id"))
+    told = chosen.join(F.broadcast(first), F.col(id_col) == F.col("__id"), "left")
+    shown = F.col("__id").isNotNull()
+    return told.select(id_col, shown.alias("exemplar"), F.when(shown, F.col("codes")).alias("codes"), F.when(shown, F.col("hard_count")).alias("hard_count"), F.when(shown, F.col("composite")).alias("composite"))
+
+
 def orphans(keys: Column, known: Column) -> Column:
     """G-I7: keys that are not known, sorted."""
     return F.array_sort(F.array_except(keys, known))

@@ -136,7 +136,7 @@ def r02(spark: SparkSession, d: str) -> DataFrame:
     from .ranking import score_records
 
     scored = score_records(record_pool(spark, load(spark, d, "customer").count()), _policy())
-    return G.histogram(scored.select(F.concat("hard_codes", "soft_codes", "integrity_codes").alias("codes")), "codes")
+    return G.histogram(scored, "hard_codes", "soft_codes", "integrity_codes")
 
 
 @query("r03_feature_profile")

@@ -20,10 +20,10 @@ from evidentia.operators import gates as G
 from evidentia.operators import ranking as R
 from evidentia.operators import scoring as S
 from evidentia.operators import vectors as V
-from evidentia.sources.records import PROFICIENCIES, SIGNALS, TIERS
+from evidentia.sources.records import PROFICIENCIES, SIGNALS
 
-# Degrees in order.
-DEGREES = (("bachelor", "b.tech", "b.e", "bsc", "b.sc"), ("master", "m.tech", "mba", "msc", "m.sc", "m.e"), ("phd", "doctor"))
+# The rank of the degrees that have one, by their whole name.
+DEGREES = {"B.Tech": 1, "B.E.": 1, "B.Sc": 1, "M.E.": 2, "M.S.": 2, "M.Sc": 2, "M.Tech": 2, "Ph.D": 3}
 #: Competency groups that tell of language or retrieval work.
 EXPOSURE = ("retr", "rank", "recsys", "ir", "nlp", "eval")
 
@@ -67,6 +67,8 @@ def career_slice(df: DataFrame, policy: Policy) -> DataFrame:
     services = total - product
     positive = F.filter(F.transform("facts", lambda f: f["months"].cast("double")), lambda m: m > 0)
     last = F.col("facts")[0]
+    names = F.transform("skill_rows", lambda x: x["name"])
+    last_named = F.filter("skill_rows", lambda s, i: ~F.array_contains(F.slice(names, i + 2, F.size("skill_rows")), s["name"]))
     return df.withColumns(
         {
             "total_months": total,
@@ -78,17 +80,17 @@ def career_slice(df: DataFrame, policy: Policy) -> DataFrame:
             "product_role": F.exists("facts", lambda f: f["product"]),
             "product_current": F.coalesce(F.col("current")["product"], F.lit(False)),
             "all_consulting": F.forall("facts", lambda f: f["consulting"]),
-            "credible": K.mean_array(F.transform("skill_rows", lambda s: F.when(s["trust"] >= 0.5, 1.0).otherwise(0.0))),
+            # Of skills that are named twice the last counts, in a share of all.
+            "n_credible": F.size(F.filter(last_named, lambda s: s["trust"] >= 0.5)),
             "stuffing": K.mean_array(F.transform("skill_rows", lambda s: F.when(s["advanced"] & s["unused"] & s["unendorsed"], 1.0).otherwise(0.0))),
         }
-    ).withColumn("gap", F.when(F.size("skill_rows") > 0, 1 - F.col("credible")).otherwise(0.0))
+    ).withColumn("gap", F.when(F.size("skill_rows") > 0, 1 - F.col("n_credible") / F.size("skill_rows")).otherwise(0.0))
 
 
 def integrity_gates(policy: Policy) -> list[G.Gate]:
-    """G-I1 to G-I7; findings of single roles and studies fire once a record here, ``finding_counts`` tells how many."""
+    """G-I1 to G-I7; those of single roles and studies fire once a record here, ``integrity_findings`` tells which they are."""
     edu, p, s = F.col("education"), F.col("profile"), F.col(policy.signals)
-    rank = lambda d: K.ladder_rank(F.lower(d), [(float(k + 1), x) for k, x in enumerate(DEGREES)], 0.0)
-    backwards = F.exists(edu, lambda a: F.exists(edu, lambda b: (rank(a["degree"]) > 0) & (rank(a["degree"]) < rank(b["degree"])) & (a["start_year"] > b["end_year"])))
+    backwards = F.exists(edu, lambda a: F.exists(edu, lambda b: _backwards(a, b)))
     unused = F.size(F.filter("skill_rows", lambda x: x["advanced"] & x["unused"]))
     first_role, first_study = F.array_min(F.transform("facts", lambda f: F.year(f["start"]))), F.array_min(F.transform(edu, lambda e: e["start_year"]))
     hard, soft = policy.hard_weight, policy.soft_weight
@@ -103,15 +105,41 @@ def integrity_gates(policy: Policy) -> list[G.Gate]:
     ]
 
 
+def _degree(d: Column) -> Column:
+    return F.create_map(*[F.lit(x) for k, v in DEGREES.items() for x in (k, v)])[d]
+
+
+def _backwards(a: Column, b: Column) -> Column:
+    """J-8: a degree that begins after a higher one has ended; degrees without a rank compare with none."""
+    return F.coalesce((_degree(a["degree"]) < _degree(b["degree"])) & (a["start_year"] > b["end_year"]), F.lit(False))
+
+
 def _mismatched(policy: Policy) -> Column:
-    day = F.to_date(F.lit(policy.as_of))
-    return F.filter("facts", lambda f: F.abs(K.month_span(f["start"], F.coalesce(f["end"], day)) - f["months"]) > policy.span_tolerance)
+    """Roles that have ended and whose dates do not give their duration."""
+    return F.filter("facts", lambda f: f["end"].isNotNull() & (F.abs(K.month_span(f["start"], f["end"]) - f["months"]) > policy.span_tolerance))
 
 
 def _ended_current() -> Column:
     return F.filter("facts", lambda f: f["claims"] & f["end"].isNotNull() & (f["index"] == F.col("current")["index"]))
 
 
+def integrity_findings(df: DataFrame, policy: Policy) -> DataFrame:
+    """G-I2, G-I3, G-I5, G-I5b role by role and degree by degree: (candidate_id, code, path), the path into the record as it came.
+
+    ``df`` is a career slice.  A degree is told once, against the first higher one that it follows.
+    """
+    at = lambda xs, code, field: F.transform(xs, lambda f: F.struct(F.lit(code).alias("code"), F.concat(F.lit("career_history["), f["index"], F.lit(f"].{field}")).alias("path")))
+    edu = F.transform("education", lambda e, i: F.struct(i.alias("index"), e["degree"].alias("degree"), e["start_year"].alias("start_year"), e["end_year"].alias("end_year")))
+    studies = lambda keep, field: F.transform(F.filter(edu, keep), lambda e: F.struct(F.lit("education_timeline_impossible").alias("code"), F.concat(F.lit("education["), e["index"], F.lit(f"].{field}")).alias("path")))
+    found = F.concat(
+        at(_mismatched(policy), "role_duration_date_mismatch", "duration_months"),
+        at(_ended_current(), "current_role_has_end_date", "end_date"),
+        studies(lambda e: e["end_year"] < e["start_year"], "end_year"),
+        studies(lambda e: F.exists("education", lambda b: _backwards(e, b)), "degree"),
+    )
+    return df.select("candidate_id", F.explode(found).alias("f")).select("candidate_id", "f.code", "f.path")
+
+
 def finding_counts(policy: Policy) -> dict[str, Column]:
     return {"role_duration_date_mismatch": F.size(_mismatched(policy)), "current_role_has_end_date": F.size(_ended_current())}
 
@@ -119,13 +147,12 @@ def finding_counts(policy: Policy) -> dict[str, Column]:
 def offline_gates(policy: Policy) -> list[G.Gate]:
     """G-O1 to G-O7: the detectors of the profiling run, with their own constants."""
     edu, p, s = F.col("education"), F.col("profile"), F.col(policy.signals)
-    day = F.to_date(F.lit(policy.as_of))
     names = F.transform("skills", lambda x: F.lower(x["name"]))
     years = p["years_of_experience"]
     stuffed = F.size(F.filter("skill_rows", lambda x: x["advanced"] & x["unused"] & x["unendorsed"]))
     return [
         G.Gate("current_role_has_end_date", F.exists("facts", lambda f: f["claims"] & f["end"].isNotNull()), True),
-        G.Gate("role_duration_date_mismatch", F.exists("facts", lambda f: F.abs(K.months_between_ym(f["start"], F.coalesce(f["end"], day)) - f["months"]) > 6), False, 0.35),
+        G.Gate("role_duration_date_mismatch", F.exists("facts", lambda f: f["end"].isNotNull() & (F.abs(K.months_between_ym(f["start"], f["end"]) - f["months"]) > 6)), False, 0.35),
         G.Gate("tenure_exceeds_experience", (years > 0) & (F.col("total_months") / 12 > 1.5 * years), True),
         G.Gate("expert_skill_zero_usage", F.size(F.filter("skills", lambda x: (x["proficiency"] == PROFICIENCIES[-1]) & (F.coalesce(x["duration_months"], F.lit(0)) == 0))) >= 5, True),
         G.Gate("education_timeline_impossible", F.exists(edu, lambda e: e["end_year"] < e["start_year"]), True),
@@ -150,7 +177,7 @@ def eligibility_gates(policy: Policy) -> list[G.Gate]:
         G.Gate("pure_research_no_production", ~F.col("product_role") & (F.col("net_fit") >= 0.5) & F.col("track").isin("services", "unknown"), True),
         *structural_gates(policy),
         G.Gate("primary_cv_speech_robotics_no_nlp", S.top_breadth([column(g, "competency") for g in EXPOSURE], exponent=2.0) < policy.exposure_least, True),
-        G.Gate("closed_source_5y_no_validation", (F.col("profile")["years_of_experience"] >= 5) & (F.col("credible") <= 0), True),
+        G.Gate("closed_source_5y_no_validation", (F.col("derived_years") >= 5) & (F.col("n_credible") <= 0), True),
         G.Gate("title_chaser_sub_18m_hops", F.col("hop_rate") >= 0.5, False),
         G.Gate("notice_over_30", F.col(policy.signals)["notice_period_days"] > 60, False),
         G.Gate("outside_india_no_sponsor", F.col("location_fit") == "outside", False),
@@ -233,7 +260,7 @@ def rank_records(scored: DataFrame, policy: Policy, exact: bool = True) -> DataF
 
 
 def gate_histogram(scored: DataFrame) -> DataFrame:
-    return G.histogram(scored.select(F.concat("hard_codes", "soft_codes").alias("codes")), "codes")
+    return G.histogram(scored, "hard_codes", "soft_codes")
 
 
 def report(scored: DataFrame, ranked: DataFrame, policy: Policy) -> dict[str, object]:
@@ -241,7 +268,3 @@ def report(scored: DataFrame, ranked: DataFrame, policy: Policy) -> dict[str, ob
     sums = scored.agg(F.count("*").alias("records"), F.count_if("is_honeypot").alias("honeypots"), F.count_if("floored").alias("floored"), F.count_if(F.size("settled_codes") > 0).alias("settled_early")).first().asDict()
     digest = ranked.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.format_string("%.6f", F.bround("score", 6)))), ","), 256).alias("d")).first().d
     return {"reproducible": {"as_of": policy.as_of, "counts": sums, "codes": {r.code: r.n for r in gate_histogram(scored).orderBy("code").collect()}, "score_digest": digest}}
-
-
-def tier_order() -> dict[str, int]:
-    return {t: k for k, t in enumerate(TIERS)}
