@@ -35,6 +35,17 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("value"))
 
 
+def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """SET-5: (key, side) of keys on one side only; a null key is a key."""
+    a, b = left.select(F.col(key).alias("key")), right.select(F.col(key).alias("key"))
+    return a.subtract(b).withColumn("side", F.lit("left")).union(b.subtract(a).withColumn("side", F.lit("right")))
+
+
+def shared_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """SET-5: keys on both sides; empty where a split is disjoint."""
+    return left.select(F.col(key).alias("key")).intersect(right.select(F.col(key).alias("key")))
+
+
 def first_wins(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
     """SRC-6: of rows with the same keys the first in order.
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from evidentia.functions.text import skeleton
@@ -93,11 +94,34 @@ def band_faults(ranking: DataFrame, n: int, band: str, strengths: str, rank: str
     return ranking.withColumn("code", code).where("code is not null")
 
 
-def expected_ranks(spark, n: int) -> DataFrame:
-    """SET-6."""
-    return spark.range(1, n + 1).withColumnRenamed("id", "rank")
+def hallucinations(ranking: DataFrame, path: str = "evidence", derived: Sequence[str] = ()) -> DataFrame:
+    """G-V5: rows whose evidence does not resolve in their own record: code HALLUCINATION.
 
-
-def best_by(value: Column, tie: Column) -> Sequence[Column]:
-    """W-5: order for an argmax whose ties go to the lowest index."""
-    return [value.desc(), tie.asc()]
+    A path is ``list[i].field`` of an array of the record, or one of the
+    ``derived`` names; the field must be there and not blank.
+    """
+    p = F.coalesce(F.col(path), F.lit(""))
+    root, index, name = (F.regexp_extract(p, r"^([a-z_]+)\[([0-9]+)\]\.([a-z_]+)$", k) for k in (1, 2, 3))
+    told = p.isin(*derived) if derived else F.lit(False)
+    for field in ranking.schema.fields:
+        if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType):
+            item = F.get(F.col(field.name), F.expr("try_cast(__index as int)"))
+            for inner in field.dataType.elementType.fields:
+                if not isinstance(inner.dataType, (T.ArrayType, T.StructType, T.MapType)):
+                    value = item[inner.name].cast("string")
+                    told = told | ((F.col("__root") == field.name) & (F.col("__name") == inner.name) & (F.length(F.trim(F.coalesce(value, F.lit("")))) > 0))
+    out = ranking.withColumns({"__root": root, "__index": index, "__name": name}).where(~F.coalesce(told, F.lit(False)))
+    return out.withColumn("code", F.lit("HALLUCINATION")).drop("__root", "__index", "__name")
+
+
+def ranked_with(ranking: DataFrame, id_col: str, *tables: DataFrame) -> DataFrame:
+    """J-14: the ranked rows with what other tables (raw, scored, reasons) say of the same ids; the short side is checked and sent to all.
+
+    A ranked id that a table lacks is an error of the build and drops out of the inner join; ``hallucinations`` and ``validate_ranking`` find it.
+    """
+    out = ranking
+    for t in tables:
+        short = out.select(id_col)
+        # The ranking is bounded by its rows, so each large table is only filtered by it.
+        out = out.join(t.join(F.broadcast(short), id_col, "left_semi"), id_col)
+    return out

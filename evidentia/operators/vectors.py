@@ -2,7 +2,7 @@
 
 Anchors and centroids are policy, not data: a few dozen rows, given by the
 caller.  ``few`` checks that before anything is sent to every task; more than
-LIMIT are matched by a join on blocks of them instead.
+LIMIT are an error, as they would be no policy any more.
 """
 
 from __future__ import annotations
@@ -81,6 +81,21 @@ def merge_vocabulary(seeds: Column, found: Column, cap: int = 80) -> Column:
     return F.slice(F.array_sort(F.array_union(seeds, found)), 1, cap)
 
 
+def anchor_rows(anchors: DataFrame) -> DataFrame:
+    """J-13: (id, row, vector): the place of each anchor in the order of ids, counted from 0, which is its row in a matrix; as few as anchors are."""
+    all_ = few(anchors.select("id", "vector"), "anchors")
+    return all_.select(F.posexplode("all").alias("row", "a")).select("a.id", "row", "a.vector")
+
+
+def hash_encoder(text: Column, dim: int = 16) -> Column:
+    """E-15: a unit vector of the text by hashing, for tests and for records that no encoder has seen; equal texts have equal vectors.
+
+    Cell k comes of the first four bytes of the SHA-256 of the text and k, mapped onto [-1, 1).
+    """
+    cell = lambda k: F.conv(F.substring(F.sha2(F.concat(text, F.lit(":"), k.cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 31)) - 1
+    return normalise(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), cell))
+
+
 def resolve_vectors(wanted: DataFrame, store: DataFrame, id_col: str, encode=None, vector: str = "vector") -> DataFrame:
     """J-1, J-2: each wanted row with its vector and ``source``: stored, encoded or missing.
 

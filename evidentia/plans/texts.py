@@ -41,9 +41,7 @@ _TOKENS = "WITH t AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text)
 
 @query("q26_token_counts", f"{_TOKENS} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS df FROM t GROUP BY 1")
 def q26(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents")
-    n = L.ngram_counts(docs, "text", 1).withColumnRenamed("t1", "token")
-    return n.join(L.document_frequency(docs, "text"), "token").select("token", "n", "df")
+    return L.token_counts(load(spark, d, "documents"), "text")
 
 
 @query(
@@ -73,20 +71,8 @@ def q29(spark: SparkSession, d: str) -> DataFrame:
     return L.gated_trigrams(docs, "text", L.pmi_bigrams(docs, "text"))
 
 
-@query(
-    "q30_cooccurrence_top10",
-    f"""{_TOKENS}, df AS (SELECT token, count(DISTINCT doc_id) AS df FROM t GROUP BY 1), v AS (SELECT token FROM df ORDER BY df DESC, token LIMIT 200), k AS (SELECT DISTINCT doc_id, token FROM t SEMI JOIN v USING (token)),
-    p AS (SELECT a.token, b.token AS other, count(*) AS n FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.token <> b.token GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY n DESC, other) AS rank FROM p)
-    SELECT token, other, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""",
-)
+@query("q30_cooccurrence_top10")
 def q30(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents")
-    vocabulary = L.document_frequency(docs, "text").orderBy(F.desc("df"), "token").limit(200).select("token")
-    return L.cooccurrence(docs, "text", vocabulary).select("token", "other", "n", "rank")
-
-
-@query("q30b_cooccurrence_top10_whole")
-def q30b(spark: SparkSession, d: str) -> DataFrame:
     return L.cooccurrence_whole(load(spark, d, "documents"), "text")
 
 
@@ -117,14 +103,8 @@ def q34(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
 
 
-@query("q35_compose_document", "SELECT doc_id, sha256(concat_ws(chr(10), CASE WHEN length(trim(coalesce(lang, ''))) > 0 THEN 'Language: ' || trim(lang) END, CASE WHEN length(trim(coalesce(source, ''))) > 0 THEN 'Source: ' || trim(source) END, CASE WHEN length(trim(substr(text, 1, 40))) > 0 AND n_chars > 500 THEN 'Text: ' || trim(substr(text, 1, 40)) END)) AS h FROM documents")
+@query("q35_compose_document", "SELECT doc_id, sha256(concat_ws(chr(10), CASE WHEN length(trim(coalesce(lang, ''))) > 0 THEN 'Language: ' || trim(lang) END, CASE WHEN length(trim(coalesce(source, ''))) > 0 THEN 'Source: ' || trim(source) END, CASE WHEN length(trim(coalesce(text, ''))) > 0 THEN 'Text: ' || trim(text) END)) AS h FROM documents")
 def q35(spark: SparkSession, d: str) -> DataFrame:
-    head = F.when(F.col("n_chars") > 500, F.substring("text", 1, 40))
-    return load(spark, d, "documents").select("doc_id", F.sha2(T.compose([("Language", F.col("lang")), ("Source", F.col("source")), ("Text", head)]), 256).alias("h"))
-
-
-@query("q35b_compose_document_whole", "SELECT doc_id, sha256(concat_ws(chr(10), CASE WHEN length(trim(coalesce(lang, ''))) > 0 THEN 'Language: ' || trim(lang) END, CASE WHEN length(trim(coalesce(source, ''))) > 0 THEN 'Source: ' || trim(source) END, CASE WHEN length(trim(coalesce(text, ''))) > 0 THEN 'Text: ' || trim(text) END)) AS h FROM documents")
-def q35b(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.sha2(T.compose([("Language", F.col("lang")), ("Source", F.col("source")), ("Text", F.col("text"))]), 256).alias("h"))
 
 

@@ -50,12 +50,13 @@ def write_report(report: Mapping[str, object], path: str | Path) -> str:
     return atomic_write(Path(path), (json.dumps(fixed(report), sort_keys=True, ensure_ascii=False, indent=1, default=str) + "\n").encode())
 
 
-def write_vectors(df: DataFrame, path: str, id_col: str = "id", vector: str = "vector", dim: int | None = None) -> None:
-    """SNK-6: after a check for null, odd, short, long or not unit vectors and repeated ids; one pass for all."""
+def write_vectors(df: DataFrame, path: str, dim: int, id_col: str = "id", vector: str = "vector") -> None:
+    """SNK-6: one float column a dimension, as ``read_vectors`` takes them, after a check for null, odd, short, long or not unit vectors and repeated ids."""
     faults = check_vectors(df, id_col, vector, dim).first().asDict()
     if bad := {k: n for k, n in faults.items() if n}:
         raise ValueError(f"vectors are not sound: {bad}")
-    df.write.mode("overwrite").option("compression", "none").parquet(path)
+    cells = [F.col(vector)[k].cast("float").alias(f"v{k}") for k in range(dim)]
+    df.select(F.col(id_col).cast("string").alias("id"), *cells).write.mode("overwrite").option("compression", "none").parquet(path)
 
 
 def write_features(df: DataFrame, path: str, features: Sequence[str], groups: Sequence[str], id_col: str = "candidate_id") -> None:

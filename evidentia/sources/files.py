@@ -28,7 +28,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
         F.expr("try_cast(nullif(trim(archetype_id), '') as int)").alias("archetype_id"),
         suspect.alias("is_honeypot_suspect"),
         yes("is_borderline").alias("is_borderline"),
-        F.filter(F.transform(F.split(F.coalesce("cited_features", F.lit("")), ";"), F.trim), lambda x: x != "").alias("cited_features"),
+        F.filter(F.transform(F.split(F.coalesce("cited_features", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "").alias("cited_features"),
     )
 
 
