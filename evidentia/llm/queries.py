@@ -13,6 +13,7 @@ from .katz import katz_scores
 from .language import identify_language, language_profiles
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .oracles import ORACLES
 from .personal_data import span_digests
 from .pieces import encode_digests
 from .quality import quality
@@ -83,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
