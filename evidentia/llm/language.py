@@ -134,10 +134,11 @@ def with_language(docs: DataFrame, profiles: dict[str, list[int]], text_col: str
     whose two nearest languages are about as near.
     """
     @F.pandas_udf("string")
-    def told(texts: pd.Series) -> pd.Series:
-        model = Profiles(profiles)
-        said = [model.predict(t) for t in texts]
-        return pd.Series([lang if lang != "und" and score >= least_score else None for lang, score in said], dtype=object)
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = Profiles(profiles)  # once a task
+        for texts in batches:
+            said = [model.predict(t) for t in texts]
+            yield pd.Series([lang if lang != "und" and score >= least_score else None for lang, score in said], dtype=object)
 
     # Not to be asked twice, once for the condition and once for the column.
     return docs.withColumn(lang_col, told.asNondeterministic()(whole(F.col(text_col)))).where(F.col(lang_col).isNotNull())

@@ -60,6 +60,9 @@ def mix_sources(
 ) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken.
 
+    Ties in the queue end at the shuffle and the id; only rows that share both
+    are told apart by where they were read.
+
     ``weights`` repeat over the sources in code-point order, the null source
     last.  A null text has size 0; documents of size 0 are taken 0 times.  Null
     ids and repeated rows are rows of their own.  An empty table gives an empty
@@ -81,19 +84,20 @@ def mix_sources(
     planned = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select("row", "id", "size", "no", "source_size", "target")
     shuffled = planned.where("size > 0").select("no", F.xxhash64(F.lit(seed), F.col("id")).alias("shuffle"), "id", "row", "size", "source_size", "target")
     queued = running_sums(shuffled, ["no", "shuffle", "id", "row"], "size", within="no", label="mix-queue")
-    turns = queued.select("row", "no", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda k: (k * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target"))).alias("finish"))
+    turns = queued.select("row", "no", "shuffle", "id", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda k: (k * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target"))).alias("finish"))
     budget = sum(n for _, n in sources)
-    taken = running_sums(turns, ["finish", "no", "row"], "size", label="mix-turns").where(F.col("before") + F.col("size") <= budget).groupBy("row").agg(F.sum("size").alias("taken"))
+    taken = running_sums(turns, ["finish", "no", "shuffle", "id", "row"], "size", label="mix-turns").where(F.col("before") + F.col("size") <= budget).groupBy("row").agg(F.sum("size").alias("taken"))
     return planned.join(taken, "row", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each input row as often as it is taken, with all its columns.
 
-    A row is found again by its id, which should be unique and not null; rows
-    that share an id are each repeated as often as the first of them in order
-    of (taken) is, and rows with a null id go.
+    A row is found again by its id, which should be unique.  Rows that share an
+    id, or have none, are each repeated as often as the most often taken of
+    them.  Texts without words, null ones among them, have size 0 and are taken
+    0 times, so they go.  An empty table stays empty.
     """
     times = mix_sources(docs, id_col, **options).where("taken > 0").groupBy(F.col(id_col).alias("__mix_id")).agg(F.expr("int(max(taken div size))").alias("__mix_times"))
-    found = docs.join(times, F.col(id_col).cast("long") == F.col("__mix_id"))
+    found = docs.where(F.regexp_like(whole(F.col(options.get("text_col", "text"))), F.lit(WORD))).join(times, F.col(id_col).cast("long").eqNullSafe(F.col("__mix_id")))
     return found.withColumn("__mix_turn", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).drop("__mix_id", "__mix_times", "__mix_turn")

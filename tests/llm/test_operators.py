@@ -9,9 +9,11 @@ import re
 import zlib
 from collections import Counter
 
+import compare
 import numpy as np
 import pytest
 import regex
+from conftest import SMALL
 from evidentia.llm import html_text as H
 from evidentia.llm import katz as K
 from evidentia.llm import near_dedup as N
@@ -28,7 +30,7 @@ from evidentia.llm.packing import pack, unpack
 from evidentia.llm.personal_data import sanitise_spans, span_digests
 from evidentia.llm.pieces import decode, encode, encode_digests
 from evidentia.llm.quality import Rule, order_rules, quality
-from evidentia.llm.queries import piece_model
+from evidentia.llm.queries import ORACLES, QUERIES, piece_model
 from evidentia.llm.shingles import shingle_set
 from evidentia.llm.toxicity import Lexicon, choose_entries, choose_exceptions, fold, learn_toxicity, score_toxicity
 from hypothesis import given, settings
@@ -64,6 +66,11 @@ def empty(spark):
     return table(spark, [])
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, name):
+    assert compare.difference(QUERIES[name](spark, SMALL), compare.connect(SMALL), ORACLES[name]) == ""
+
+
 def test_exact_dedup(odd, empty):
     rows = odd_rows()
     groups = {}
@@ -300,6 +307,39 @@ def test_mixing(odd, empty):
     assert mix_sources(empty).count() == 0
 
 
+def brute_mix(spark, rows, weights=(1, 2, 3), most=3):
+    """(id, size, taken) by walking the queue; targets by bisection of the level that all sources are filled to."""
+    size = [len(re.findall(WORD, t or "")) for _, t, *_ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda x: (x is None, x or ""))
+    total = {s: sum(n for n, r in zip(size, rows, strict=True) if r[3] == s) for s in sources}
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(sources)}
+    lo, hi = 0.0, float(3 * sum(size) + 1)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(most * total[s], mid * weight[s]) for s in sources) < sum(size) else (lo, mid)
+    target = {s: min(most * total[s], hi * weight[s]) for s in sources}
+    keys = [r.h for r in spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, id long").select("k", F.xxhash64(F.lit(42), "id").alias("h")).orderBy("k").collect()]
+    first = lambda k: (keys[k], rows[k][0] is not None, rows[k][0] or 0)
+    turns = []
+    for no, s in enumerate(sources):
+        before = 0
+        for k in sorted((k for k, r in enumerate(rows) if r[3] == s and size[k]), key=first):
+            turns += [((turn * total[s] + before + size[k]) / target[s], no, first(k), k) for turn in range(most)]
+            before += size[k]
+    taken, so_far = Counter(), 0
+    for *_, k in sorted(turns, key=lambda x: (round(x[0], 9), x[1], x[2])):
+        taken[k] += size[k] if so_far + size[k] <= sum(size) else 0
+        so_far += size[k]
+    return [(r[0], size[k], taken[k]) for k, r in enumerate(rows)]
+
+
+def test_mixing_queue(spark):
+    rng = random.Random(6)
+    rows = [(k, "w " * rng.randint(0, 9), "en", rng.choice(("a", "a", "a", "b", "c", "d", None))) for k in range(150)]
+    got = sorted((r.doc_id, r["size"], r.taken) for r in mix_sources(table(spark, rows).repartition(3)).collect())
+    assert got == sorted(brute_mix(spark, rows))
+
+
 def test_mixing_nears_targets(spark):
     rng = random.Random(1)
     docs = table(spark, [(k, "w " * rng.randint(1, 30), "en", rng.choice("aaaaab") if k % 10 else "c") for k in range(3000)])
@@ -464,6 +504,28 @@ def test_quality(spark, odd, empty):
     assert quality(empty).count() == 0
 
 
+def test_quality_verdict(spark):
+    """``kept`` against the rules written out in Python."""
+    rng = random.Random(8)
+    words = [f"word{k}" for k in range(90)] + ["CAPS", "LOUD", "x", "!!", "#", "averyverylongwordindeedtoolong", "12345", "a\nb"]
+    rows = []
+    for k in range(150):
+        some = rng.sample(words, rng.randint(1, 8)) if k % 2 else words
+        rows.append((k, " ".join(rng.choice(some) for _ in range(rng.randint(0, 60))) + "\nsame line\nsame line" * (k % 3), "en", "a"))
+
+    def kept(t):
+        w, lines = re.findall(WORD, t), t.split("\n")
+        n, chars, letters = len(w), sum(map(len, w)), len(regex.findall(r"\p{L}", t))
+        said = [x for x in lines if re.search(WORD, x)]
+        c = Counter(tuple(w[k : k + 8]) for k in range(n - 7))
+        rep = len({j for k in range(n - 7) if c[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)})
+        fails = [n < 20, 100 * rep > 30 * n, len(re.findall(r"[#*$%&|<>]", t)) > 0.3 * n, not 2 * n <= chars <= 15 * n, len(said) - len(set(said)) > 0.3 * len(lines), len(regex.findall(r"\p{Lu}", t)) > 0.5 * letters, t.count("!") > 0.3 * n, letters < 0.5 * chars, len(set(w)) < 0.1 * n]
+        return not any(fails)
+
+    got = {r.doc_id: r.kept for r in quality(table(spark, rows)).collect()}
+    assert got == {k: kept(t) for k, t, *_ in rows} and 5 < sum(got.values()) < 145
+
+
 def test_cascade_order_keeps_the_verdict(odd):
     rules = [Rule("slow", F.sha2(F.col("text"), 512) == "x"), Rule("short", F.col("n_words") < 30)]
     assert {r.name for r in order_rules(odd, rules)} == {"slow", "short"}
@@ -486,6 +548,30 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in identify_language(docs, {}).collect()} == {"und"}
 
 
+def brute_language(text, profiles, ranks=300):
+    """Nearest profile by out-of-place distance, over dictionaries of n-grams."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    grams = Counter(c for w in words for c in w)
+    grams.update(f" {w} "[k : k + n] for w in words for n in (2, 3) for k in range(len(w) + 3 - n))
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(g))
+    own = sorted(map(code, grams), key=lambda c: (-count[c], c)) if (count := {code(g): n for g, n in grams.items()}) else []
+    place = {lang: {c: k for k, c in enumerate(p)} for lang, p in profiles.items()}
+    return {lang: sum(abs(place[lang][c] - k) if c in place[lang] else ranks for k, c in enumerate(own[:ranks])) for lang in profiles} if own else {}
+
+
+def test_language_distance(spark):
+    rng = random.Random(9)
+    letters = {"en": "etaoin shrdlu", "de": "enisr atdhul", "es": "eaosr nidlct"}
+    rows = [(k, "".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 300))), lang, "a") for k, lang in enumerate(["en", "de", "es"] * 30)] + [(200, "Ünïcödé ßtraße 12 x_y", "de", "a"), (201, "a", "en", "a"), (202, "", None, "a")]
+    docs = table(spark, rows)
+    profiles = language_profiles(docs, F.lit(True))
+    got = {r.doc_id: r for r in identify_language(docs, profiles).collect()}
+    for i, text, *_ in rows:
+        far = sorted((d, lang) for lang, d in brute_language(text, profiles).items())
+        assert got[i].lang_pred == (far[0][1] if far else "und")
+        assert math.isclose(got[i].score, (far[1][0] - far[0][0]) / far[1][0] if far and far[1][0] else 0.0)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var t="</p><article>";</script></head><body><nav><ul><li><a href=/a>Menu</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="ad">Buy</div><article><h1>Head &amp; line</h1><p><b>First
  part<br><p>Second&nbsp;part &lt;b&gt; a < b</p><form><p>Sign up</p></form><aside>More</aside><p>End</article>
