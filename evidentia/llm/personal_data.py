@@ -56,7 +56,7 @@ _GROUP = {
 
 
 #: Elements of an array that are folded one by one; longer arrays are folded in blocks of so many.
-_BLOCK = 256
+_BLOCK = 64
 _INTS = "cast(array() as array<int>)"
 
 
@@ -139,10 +139,9 @@ def _revealing(found: DataFrame, total: int) -> DataFrame:
     held = in_text.join(entities, "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
     outside = f"transform({_apart(_located('text', _quoted(_TERM)), 'spans')}, w -> lower(w.value))"
     words = F.array_except(F.expr(f"array_distinct({outside})"), F.lit(frequent).cast("array<string>"))
-    pairs = (
-        found.where(F.size("spans") > 0).join(held, "row").select(F.explode("entities").alias("entity"), words.alias("words")).select("entity", F.explode("words").alias("term"))
-        .groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    )
+    # Written before they are taken apart: a filter that Spark derives from an explode would compute the words of a text again.
+    told = stored(found.join(held, "row").select("entities", words.alias("words")), "personal-words").df
+    pairs = told.select(F.explode("entities").alias("entity"), "words").select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
     disclosure = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) / information
     scored = pairs.join(entities, "entity").where(F.col("n_te") * information >= EVIDENCE).join(terms.where(F.col("n_t") <= bound), "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISE)
     return scored.groupBy("term").agg(F.max(F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")).alias("action"))
