@@ -35,6 +35,11 @@ def ranking_metrics(df: DataFrame, group: str | None, score: str, tier: str, id_
     return out if group else out.drop("__all")
 
 
+def _partitions(df: DataFrame) -> int:
+    """A given number of range partitions is never coalesced, so each branch of a plan sees the same ones."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def composite_metric(ndcg10: Column, ndcg50: Column, map_: Column, p10: Column) -> Column:
     """WS-5."""
     return 0.5 * ndcg10 + 0.3 * ndcg50 + 0.15 * map_ + 0.05 * p10
@@ -98,21 +103,39 @@ def weight_search(labelled: DataFrame, components: Sequence[str], tier: str, id_
 def permutation_importance(df: DataFrame, features: Sequence[str], weights: Sequence[float], tier: str, id_col: str, repeats: int = 5, seed: int = 7) -> DataFrame:
     """E-12: how much the rank correlation with the tier falls when one feature's values change rows.
 
-    Each (feature, repeat) is a shuffle by hash: values are joined back at
-    another row's place.  Distributed over features; every one is a row number
-    on both sides and an equi-join.
+    Each (feature, repeat) moves all values by one permutation of the rows'
+    places, place -> (a place + b) mod N with a prime to N, and other a and b for
+    each repeat; places are given once, block by block, so no window holds a whole feature.
     """
-    base = df.select(id_col, tier, *features)
     score = sum((F.lit(float(w)) * F.col(f) for f, w in zip(features, weights, strict=True)), F.lit(0.0))
-    whole = base.agg(F.corr(score, F.col(tier).cast("double")).alias("whole"))
-    long = base.select(id_col, tier, score.alias("score"), F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(float(w)).alias("w"), F.col(f).cast("double").alias("x")) for f, w in zip(features, weights, strict=True)))).alias("c"))
-    turns = long.select(id_col, tier, "score", "c.feature", "c.w", "c.x", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("turn"))
-    own = turns.withColumn("at", F.row_number().over(Window.partitionBy("feature", "turn").orderBy(id_col)))
-    other = turns.withColumn("at", F.row_number().over(Window.partitionBy("feature", "turn").orderBy(F.xxhash64(F.lit(seed), "turn", "feature", id_col), id_col))).select("feature", "turn", "at", F.col("x").alias("y"))
-    moved = own.join(other, ["feature", "turn", "at"]).groupBy("feature", "turn").agg(F.corr(F.col("score") + F.col("w") * (F.col("y") - F.col("x")), F.col(tier).cast("double")).alias("c"))
+    laid = df.select(id_col, tier, score.alias("score"), *(F.col(f).cast("double").alias(f) for f in features)).repartitionByRange(_partitions(df), F.xxhash64(F.lit(seed), id_col), id_col).sortWithinPartitions(F.xxhash64(F.lit(seed), id_col), id_col)
+    laid = laid.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id())
+    parts = laid.groupBy("__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    start = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one short row a partition
+    base = laid.join(F.broadcast(parts.select("__part", "__first", start.alias("__start"))), "__part").withColumn("place", F.col("__start") + F.col("__at") - F.col("__first"))
+    n = laid.count()
+    moves = [_permutation(n, seed, f, turn) for f in features for turn in range(repeats)]
+    cells = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(float(w)).alias("w"), F.col(f).alias("x")) for f, w in zip(features, weights, strict=True)))
+    long = base.select("place", tier, "score", F.explode(cells).alias("c")).select("place", tier, "score", "c.feature", "c.w", "c.x")
+    plan = df.sparkSession.createDataFrame([(f, turn, a, b) for (f, turn), (a, b) in zip(((f, t) for f in features for t in range(repeats)), moves, strict=True)], "feature string, turn int, a long, b long")
+    own = long.join(F.broadcast(plan.select("feature", "turn")), "feature")  # as many rows as features and repeats
+    other = long.select("feature", "place", F.col("x").alias("y")).join(F.broadcast(plan), "feature").select("feature", "turn", F.pmod(F.col("a") * F.col("place") + F.col("b"), F.lit(max(n, 1))).alias("place"), "y")
+    moved = own.join(other, ["feature", "turn", "place"]).groupBy("feature", "turn").agg(F.corr(F.col("score") + F.col("w") * (F.col("y") - F.col("x")), F.col(tier).cast("double")).alias("c"))
+    whole = base.agg(F.corr("score", F.col(tier).cast("double")).alias("whole"))
     return moved.groupBy("feature").agg(F.avg("c").alias("c")).crossJoin(F.broadcast(whole)).select("feature", (F.coalesce("whole", F.lit(0.0)) - F.coalesce("c", F.lit(0.0))).alias("importance"))
 
 
+def _permutation(n: int, seed: int, feature: str, turn: int) -> tuple[int, int]:
+    """a and b of place -> (a place + b) mod n, which reaches every place once; a times n stays within a long."""
+    rng = np.random.default_rng([seed, turn, *feature.encode()])
+    if n < 3:
+        return 1, int(rng.integers(0, max(n, 1)))
+    while True:
+        a = int(rng.integers(2, min(n, 1 << 31)))
+        if math.gcd(a, n) == 1 or n <= 6:
+            return (a if math.gcd(a, n) == 1 else 1), int(rng.integers(0, n))
+
+
 def kmeans(df: DataFrame, vector: str, k: int = 10, seed: int = 7, runs: int = 1) -> tuple[DataFrame, DataFrame]:
     """E-10, W-10: rows with ``cluster``, and (id, vector, size, inertia) with unit centroids numbered in lexicographic order."""
     from pyspark.ml.clustering import KMeans
@@ -159,13 +182,18 @@ def is_monotone(knots: Sequence[tuple[float, float]]) -> bool:
 
 
 def inversions(df: DataFrame, before: str, after: str) -> DataFrame:
-    """CAL-8: one row with how many neighbours in order of ``before`` are strictly the wrong way round in ``after``.
+    """CAL-8: one row with how many values of ``before`` have a row below the highest ``after`` of all lower values.
 
-    A curve that keeps neighbours in order keeps all pairs in order, so no pairs are made.
+    A curve that keeps neighbours in order keeps all pairs in order, so no pairs are made.  The values are range-partitioned;
+    the highest of each partition, one short row each, tells what the partitions before it have reached.
     """
-    w = Window.orderBy(before)
-    least = df.groupBy(before).agg(F.min(after).alias("lo"), F.max(after).alias("hi"))
-    return least.withColumn("prev", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))).agg(F.count_if(F.col("lo") < F.col("prev")).alias("n"))
+    least = df.groupBy(F.col(before).alias("x")).agg(F.min(after).alias("lo"), F.max(after).alias("hi"))
+    laid = least.repartitionByRange(_partitions(df), "x").withColumn("part", F.spark_partition_id())
+    inner = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    parts = laid.groupBy("part").agg(F.max("hi").alias("top"))
+    reached = parts.select("part", F.max("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    prev = F.greatest(F.max("hi").over(inner), F.col("earlier"))
+    return laid.join(F.broadcast(reached), "part").withColumn("prev", prev).agg(F.count_if(F.col("lo") < F.col("prev")).alias("n"))
 
 
 def recalibrate_risk(prevalence: DataFrame, budget: float = 0.02, hard: float = 3.0, soft: float = 1.0) -> DataFrame:

@@ -123,7 +123,13 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q50_permutation_importance")
 def q50(spark: SparkSession, d: str) -> DataFrame:
-    return C.permutation_importance(_labelled(spark, d), ["length", "plain", "compact"], [0.3, 0.5, 0.2], "tier", "doc_id")
+    """E-12: all 145 features, five repeats, against tiers that a third of the features have a part in."""
+    from evidentia.features.layout import LAYOUT
+
+    from .record_queries import _features
+
+    tier = F.floor(4 * sum((F.col(f) for f in LAYOUT[::3] if f != "exp__years"), F.lit(0.0)) / len(LAYOUT[::3])).cast("int")
+    return C.permutation_importance(_features(spark, d).withColumn("tier", tier), LAYOUT, [1 / len(LAYOUT)] * len(LAYOUT), "tier", "candidate_id")
 
 
 @query("q51_kmeans_archetypes")

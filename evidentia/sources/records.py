@@ -43,14 +43,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
     blank = F.length(F.trim(F.coalesce("line", F.lit("")))) == 0
-    counts = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    # Counted anew without blank lines, which gives the index.
+    kept = raw.where(~blank).withColumn("kept_at", F.monotonically_increasing_id())
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"))
-    numbered = raw.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("lines") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
-    kept = numbered.where(~blank)
-    # The index counts lines that are not blank: line number less the blank ones before.  Blank lines are few.
-    blanks = numbered.where(blank).groupBy("file").agg(F.array_sort(F.collect_list("line_no")).alias("blanks"))
-    return kept.join(F.broadcast(blanks), "file", "left").select("file", "line_no", (F.col("line_no") - 1 - F.coalesce(F.size(F.filter("blanks", lambda b: b < F.col("line_no"))), F.lit(0))).alias("source_index"), "line")
+
+    def starts(rows: DataFrame, at: str, first: str, start: str) -> DataFrame:
+        counts = rows.groupBy("file", "block").agg(F.min(at).alias(first), F.count("*").alias("n"))
+        return F.broadcast(counts.select("file", "block", first, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start)))
+
+    placed = kept.join(starts(raw, "at", "first", "lines"), ["file", "block"]).join(starts(kept, "kept_at", "kept_first", "kept_lines"), ["file", "block"])
+    return placed.select("file", (F.col("lines") + F.col("at") - F.col("first") + 1).alias("line_no"), (F.col("kept_lines") + F.col("kept_at") - F.col("kept_first")).alias("source_index"), "line")
 
 
 def _outside(x: Column, lo: float, hi: float | None = None) -> Column:

@@ -73,6 +73,33 @@ def test_metrics():
 def test_inversions(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 1.5), (4, 4.0)], "a int, b double")
     assert C.inversions(df, "a", "b").first().n == 1
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(300), rng.random()) for _ in range(2000)]
+    low, high = {}, {}
+    for a, b in rows:
+        low[a], high[a] = min(low.get(a, 2), b), max(high.get(a, -1), b)
+    want = sum(low[a] < max((high[x] for x in high if x < a), default=-1) for a in low)
+    assert C.inversions(spark.createDataFrame(rows, "a int, b double"), "a", "b").first().n == want
+    assert C.inversions(df.limit(0), "a", "b").first().n == 0
+
+
+def test_permutation_importance(spark):
+    """A feature that makes the tier matters, one that has no weight does not; every move is a permutation."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, x := rng.random(), rng.random(), int(5 * x)) for k in range(500)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, tier int").repartition(5)
+    got = {r.feature: r.importance for r in C.permutation_importance(df, ["a", "b"], [1.0, 0.0], "tier", "id").collect()}
+    assert got["a"] > 0.9 and abs(got["b"]) < 1e-9
+    again = {r.feature: r.importance for r in C.permutation_importance(df.repartition(2), ["a", "b"], [1.0, 0.0], "tier", "id").collect()}
+    assert got == pytest.approx(again, abs=1e-12)
+    for n in (1, 2, 3, 6, 7, 100):
+        a, b = C._permutation(n, 7, "f", 1)
+        assert sorted((a * k + b) % n for k in range(n)) == list(range(n))
+    assert C.permutation_importance(df.limit(0), ["a"], [1.0], "tier", "id").count() == 0
 
 
 def test_build_skips_what_is_fresh(tmp_path):
