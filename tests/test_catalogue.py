@@ -110,3 +110,16 @@ def test_whole_search(spark, monkeypatch, name, operator, parameter, least):
 
     monkeypatch.setattr(calibrate, operator, spy)
     assert QUERIES[name](spark, SMALL).count() and seen == [least]
+
+
+def test_union_of_tied_intervals(spark, tmp_path):
+    """Many events of one user with the same interval, at both sides of gaps: covered days, counted one by one."""
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(k * 100 + j, day + dt.timedelta(days=at, seconds=k), user) for k in range(20) for j, (user, at) in enumerate([(1, 0), (1, 9), (1, 20), (2, 3), (2, 3), (2, 15)])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    said: dict[int, set] = {}
+    for event, ts, user in rows:
+        said.setdefault(user, set()).update(ts.date() + dt.timedelta(days=x) for x in range(1 + event % 4))
+    assert {r.user_id: r.days for r in QUERIES["q18_interval_union_length"](spark, str(tmp_path)).collect()} == {k: len(v) for k, v in said.items()}
