@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,10 +52,10 @@ def _dcg(tiers: np.ndarray, k: int) -> float:
     return float(((2.0**t - 1) / np.log2(np.arange(len(t)) + 2)).sum())
 
 
-def metric_of(scores: np.ndarray, tiers: np.ndarray, relevant: int = 3) -> float:
-    """WS-1 to WS-5 for one scoring of labelled rows, given in order of id."""
+def metric_of(scores: np.ndarray, tiers: np.ndarray, relevant: int = 3, ideal: np.ndarray | None = None) -> float:
+    """WS-1 to WS-5 for one scoring of labelled rows, given in order of id; ``ideal`` are the tiers in falling order, if known."""
     t = tiers[np.argsort(-scores, kind="stable")]
-    ideal = -np.sort(-tiers)
+    ideal = -np.sort(-tiers) if ideal is None else ideal
     ndcg = [_dcg(t, k) / d if (d := _dcg(ideal, k)) else 0.0 for k in (10, 50)]
     hit = t >= relevant
     ap = float((np.cumsum(hit)[hit] / (np.flatnonzero(hit) + 1)).mean()) if hit.any() else 0.0
@@ -66,37 +68,73 @@ def floor_weights(w: np.ndarray, least: float = 0.12) -> np.ndarray:
     return least + (1 - least * len(w)) * w / w.sum()
 
 
-def weight_search(labelled: DataFrame, components: Sequence[str], tier: str, id_col: str, is_val: str, draws: int = 2000, seed: int = 7, least: float = 0.12, ridge: float = 0.02, limit: int = 100_000) -> DataFrame:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (held, values) in order as blocks (held, part, at, columns) of 8 bytes a value, column by column."""
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        held = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+        values = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]]
+        for side in (False, True):
+            if (rows := held == side).any():
+                yield pa.RecordBatch.from_pylist([{"held": side, "part": part, "at": at, "columns": [v[rows].tobytes() for v in values]}], _PACKED)
+                at += 1
+
+
+_PACKED = pa.schema([("held", pa.bool_()), ("part", pa.int32()), ("at", pa.int32()), ("columns", pa.list_(pa.binary()))])
+
+
+def _metrics(packed: DataFrame, weights: np.ndarray, tasks: int) -> list[float]:
+    """``metric_of`` for each row of ``weights``; every task takes its share of them over all rows, of which it holds the values alone."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, blocks = set(), {}
+        for batch in batches:
+            for task, part, at, columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine.add(task)
+                blocks[part, at] = columns
+        if mine:
+            order = sorted(blocks)
+            *x, tiers = (np.concatenate([np.frombuffer(blocks[k][c]) for k in order]) for c in range(weights.shape[1] + 1))
+            blocks.clear()
+            ideal = -np.sort(-tiers)
+            for task in mine:
+                share = range(task, len(weights), tasks)
+                # Summed column by column, so that rows of equal values have equal scores wherever they stand.
+                found = [metric_of(sum(w * c for w, c in zip(weights[k], x, strict=True)), tiers, ideal=ideal) for k in share]
+                yield pa.RecordBatch.from_arrays([pa.array(share, pa.int32()), pa.array(found, pa.float64())], names=["k", "metric"])
+
+    tasks = min(tasks, len(weights))
+    each = packed.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), "part", "at", "columns")
+    found = {r.k: r.metric for r in each.repartitionById(tasks, F.col("task")).mapInArrow(measure, "k int, metric double").collect()}
+    return [found.get(k, 0.0) for k in range(len(weights))]
+
+
+def weight_search(labelled: DataFrame, components: Sequence[str], tier: str, id_col: str, is_val: str, draws: int = 2000, seed: int = 7, least: float = 0.12, ridge: float = 0.02) -> DataFrame:
     """E-11: Dirichlet draws over component weights, the best on the training rows, told with its metric on the others.
 
-    Gold labels are made by hand and few; they are gathered on the driver after
-    a check that there are at most ``limit``.  Result: (component, weight,
-    ablation, train, val, stability).
+    The metric of a draw asks for the order of all rows, so the draws are dealt to at most 64 tasks and each task has all
+    rows, as 8 bytes a component and tier; the driver has one number a draw.  Result: (component, weight, ablation, train,
+    val, stability).
     """
     spark = labelled.sparkSession
-    if labelled.count() > limit:
-        raise ValueError("too many labelled rows for a search on the driver")
-    rows = labelled.orderBy(id_col).select(*components, tier, is_val).toPandas()
-    x, y, val = rows[list(components)].to_numpy(float), rows[tier].to_numpy(float), rows[is_val].to_numpy(bool)
-    rng = np.random.default_rng(seed)
+    tasks = min(_partitions(labelled), 64)
+    rows = labelled.orderBy(id_col).select(F.col(is_val), *(F.col(c).cast("double") for c in (*components, tier)))
+    packed = rows.mapInArrow(_pack, "held boolean, part int, at int, columns array<binary>").persist()
     even = np.full(len(components), 1 / len(components))
+    drawn = np.vstack([even, np.random.default_rng(seed).dirichlet(np.ones(len(components)), draws)])
+    weights = np.array([floor_weights(d, least) for d in drawn])
+    found = [(m - ridge * float(((w - even) ** 2).sum()), w) for m, w in zip(_metrics(packed.where(~F.col("held")), weights, tasks), weights, strict=True)]
     best = (-math.inf, even)
-    found: list[tuple[float, np.ndarray]] = []
-    for draw in np.vstack([even, rng.dirichlet(np.ones(len(components)), draws)]):
-        w = floor_weights(draw, least)
-        m = metric_of(x[~val] @ w, y[~val]) - ridge * float(((w - even) ** 2).sum())
-        found.append((m, w))
+    for m, w in found:
         if m > best[0]:
             best = (m, w)
     top = np.mean([w for _, w in sorted(found, key=lambda f: -f[0])[:20]], axis=0)
     w = best[1]
     stability = float(w @ top / (np.linalg.norm(w) * np.linalg.norm(top)))
-    held = metric_of(x[val] @ w, y[val]) if val.any() else 0.0
-    out = []
-    for k, c in enumerate(components):
-        rest = np.where(np.arange(len(w)) == k, 0, w)
-        drop = held - metric_of(x[val] @ (rest / rest.sum()), y[val]) if val.any() and rest.sum() else 0.0
-        out.append((c, float(w[k]), float(drop), float(best[0]), float(held), stability))
+    rests = [np.where(np.arange(len(w)) == k, 0, w) for k in range(len(w))]
+    held, *ablated = _metrics(packed.where("held"), np.array([w, *(r / r.sum() if r.sum() else w for r in rests)]), tasks)
+    packed.unpersist()
+    out = [(c, float(w[k]), float(held - ablated[k]), float(best[0]), float(held), stability) for k, c in enumerate(components)]
     return spark.createDataFrame(out, "component string, weight double, ablation double, train double, val double, stability double")
 
 

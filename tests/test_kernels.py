@@ -102,6 +102,33 @@ def test_permutation_importance(spark):
     assert C.permutation_importance(df.limit(0), ["a"], [1.0], "tier", "id").count() == 0
 
 
+def test_weight_search_over_many_rows(spark):
+    """More labelled rows than the search once took, with ties and rows out of order, against the search in one place."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    n = 100_001
+    df = spark.range(n).select("id", *(F.round(F.pmod(F.xxhash64(F.lit(c), "id"), F.lit(1000)) / 1000, 1).alias(c) for c in "ab"), (F.pmod(F.xxhash64(F.lit("v"), "id"), F.lit(4)) == 0).alias("val"))
+    df = df.withColumn("tier", F.floor(3 * F.col("a") + F.pmod(F.col("id"), F.lit(2))).cast("int"))
+    got = {r.component: r for r in C.weight_search(df.repartition(7, "b"), ["a", "b"], "tier", "id", "val", draws=6).collect()}
+    rows = df.orderBy("id").toPandas()
+    a, b, y, val = (rows[c].to_numpy() for c in ("a", "b", "tier", "val"))
+    metric = lambda w, side: C.metric_of(w[0] * a[side] + w[1] * b[side], y[side].astype(float))
+    weights = [C.floor_weights(d) for d in np.vstack([[0.5, 0.5], np.random.default_rng(7).dirichlet([1, 1], 6)])]
+    trained = [metric(w, ~val) - 0.02 * float(((w - 0.5) ** 2).sum()) for w in weights]
+    w = weights[int(np.argmax(trained))]
+    held = metric(w, val)
+    assert [got[c].weight for c in "ab"] == pytest.approx(list(w), abs=1e-12) and got["a"].train == pytest.approx(max(trained), abs=1e-12)
+    assert got["a"].val == pytest.approx(held, abs=1e-12)
+    assert got["a"].ablation == pytest.approx(held - metric((0, 1), val), abs=1e-12) and got["b"].ablation == pytest.approx(held - metric((1, 0), val), abs=1e-12)
+
+
+def test_weight_search_without_rows_on_a_side(spark):
+    rows = [(k, k / 10, int(k > 4), False) for k in range(10)]
+    df = spark.createDataFrame(rows, "id int, a double, tier int, val boolean")
+    assert [(r.weight, r.val, r.ablation) for r in C.weight_search(df, ["a"], "tier", "id", "val", draws=2).collect()] == [(1.0, 0.0, 0.0)]
+
+
 def test_build_skips_what_is_fresh(tmp_path):
     ran = []
 
