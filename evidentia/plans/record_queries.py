@@ -151,13 +151,14 @@ def _rows(fields: dict[str, str], size: str) -> str:
     return f"transform(filter(sequence(0, 6), k -> k < {size}), k -> {_struct(fields)})"
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    """The pool, nested, with ``similarities``."""
+def records(spark: SparkSession, d: str, parts: int | None = None) -> DataFrame:
+    """The pool, nested, with ``similarities``; a file of many narrow rows is one task's, so ``parts`` deals the rows out before they grow."""
     salary = {"expected_salary_range_inr_lpa": _struct({"min": SIGNAL["salary_min"], "max": SIGNAL["salary_max"]})}
     scores = f"map_from_entries(transform(filter(sequence(0, 2), k -> {ASSESSED['kept']}), k -> struct({ASSESSED['name']}, {ASSESSED['score']})))"
     signals = {k: v for k, v in SIGNAL.items() if not k.startswith("salary_")} | salary | {"skill_assessment_scores": scores}
     cosines = ", ".join(f"'jd.{g}', {COSINE.replace('k * ', f'{j} * ')}" for j, g in enumerate(ANCHORED))
-    return load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("n")).select(
+    base = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("n"))
+    return (base.repartition(parts, "n") if parts else base).select(
         F.expr("concat('CAND_', lpad(cast(n AS STRING), 7, '0'))").alias("candidate_id"), F.expr(_struct(PROFILE)).alias("profile"), F.expr(_rows(ROLE, N_ROLES)).alias("career_history"), F.expr(_rows(STUDY, N_STUDIES)).alias("education"),
         F.expr(_rows(SKILL, N_SKILLS)).alias("skills"), F.expr(_struct(signals)).alias("signals"), F.expr(f"map_filter(map({cosines}), (g, x) -> x IS NOT NULL)").alias("similarities"),
     )
@@ -280,8 +281,8 @@ def _rounded(cells: dict[str, str]) -> str:
     return ", ".join(f"round(({v})::DOUBLE, 9) AS {k}" for k, v in cells.items())
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
-    return extract_features(records(spark, d), AS_OF, "similarities")
+def _features(spark: SparkSession, d: str, parts: int | None = None) -> DataFrame:
+    return extract_features(records(spark, d, parts), AS_OF, "similarities")
 
 
 def _cells(spark: SparkSession, d: str, groups: tuple[str, ...]) -> DataFrame:

@@ -129,7 +129,7 @@ def q50(spark: SparkSession, d: str) -> DataFrame:
     from .record_queries import _features
 
     tier = F.floor(4 * sum((F.col(f) for f in LAYOUT[::3] if f != "exp__years"), F.lit(0.0)) / len(LAYOUT[::3])).cast("int")
-    return C.permutation_importance(_features(spark, d).withColumn("tier", tier), LAYOUT, [1 / len(LAYOUT)] * len(LAYOUT), "tier", "candidate_id")
+    return C.permutation_importance(_features(spark, d, int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("tier", tier), LAYOUT, [1 / len(LAYOUT)] * len(LAYOUT), "tier", "candidate_id")
 
 
 @query("q51_kmeans_archetypes")

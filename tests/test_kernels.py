@@ -102,6 +102,24 @@ def test_permutation_importance(spark):
     assert C.permutation_importance(df.limit(0), ["a"], [1.0], "tier", "id").count() == 0
 
 
+def test_permutation_importance_in_memory(spark):
+    """The columns moved in memory say what the join says, with unknown values, and each feature is computed once a row."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(k, rng.random(), rng.random() if k % 7 else None, rng.randrange(4)) for k in range(301)]
+    computed = spark.sparkContext.accumulator(0)
+    costly = F.udf(lambda x: (computed.add(1), x)[1], "double")
+    df = spark.createDataFrame(rows, "id int, a double, b double, tier int").repartition(5).withColumn("c", costly("a"))
+    said = [{r.feature: r.importance for r in C.permutation_importance(df, ["a", "b", "c"], [0.7, 0.2, 0.1], "tier", "id", held=held).collect()} for held in (0, 301)]
+    assert len(said[1]) == 3 and said[0] == pytest.approx(said[1], abs=1e-12)
+    computed.value = 0
+    C.permutation_importance(df, ["a", "b", "c"], [0.7, 0.2, 0.1], "tier", "id").collect()
+    assert computed.value == 301
+
+
 def test_weight_search_over_many_rows(spark):
     """More labelled rows than the search once took, with ties and rows out of order, against the search in one place."""
     import numpy as np
