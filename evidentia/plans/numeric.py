@@ -188,9 +188,12 @@ def q17(spark: SparkSession, d: str) -> DataFrame:
 
 def _covered_days(events: DataFrame) -> DataFrame:
     day = F.col("ts").cast("date")
-    spans = events.select("user_id", F.struct(day.alias("start"), F.date_add(day, (1 + F.col("event_id") % 4).cast("int")).alias("end")).alias("i"))
-    # A user has few distinct intervals, however many events: the set is what is gathered.
-    return spans.groupBy("user_id").agg(I.union_length(F.collect_set("i")).alias("days"))
+    spans = events.select("user_id", day.alias("start"), F.date_add(day, (1 + F.col("event_id") % 4).cast("int")).alias("end"))
+    # Ids below zero give intervals that end before they start; the SQL counts each of their copies, so these stay apart in the set.
+    i = F.struct("start", "end", F.when(F.col("end") < F.col("start"), F.monotonically_increasing_id()).alias("copy"))
+    # A user has few distinct intervals, however many events: the set is what is gathered. An event without a time or an id has none.
+    some = F.collect_set("i")
+    return spans.select("user_id", F.when(F.col("end").isNotNull(), i).alias("i")).groupBy("user_id").agg(F.when(F.size(some) > 0, I.union_length(some)).alias("days"))
 
 
 @query(

@@ -141,3 +141,20 @@ def test_union_of_tied_intervals(spark, tmp_path):
     for event, ts, user in rows:
         said.setdefault(user, set()).update(ts.date() + dt.timedelta(days=x) for x in range(1 + event % 4))
     assert {r.user_id: r.days for r in QUERIES["q18_interval_union_length"](spark, str(tmp_path)).collect()} == {k: len(v) for k, v in said.items()}
+
+
+def test_union_of_odd_intervals(spark, tmp_path):
+    """Events without a time or an id cover nothing, users of none but these have no total, and intervals that end before they start count one by one: as SQL in one thread."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(18)
+    day = dt.datetime(2024, 1, 1)
+    odd = [(1, day, 1), (2, None, 1), (None, day, 1), (3, day + dt.timedelta(days=9), 1), (4, None, 2), (None, day, 3), (-3, day, 4), (-7, day, 4), (5, None, None), (6, day, None)]
+    some = [(rng.choice([None, rng.randrange(-20, 20)]), rng.choice([None, *[day + dt.timedelta(days=rng.randrange(40))] * 4]), rng.randrange(10, 60)) for _ in range(600)]
+    spark.createDataFrame(odd + some, "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    duck = compare.connect(str(tmp_path))
+    duck.execute("SET threads = 1")
+    got = QUERIES["q18_interval_union_length"](spark, str(tmp_path))
+    assert {r.user_id: r.days for r in got.where("user_id < 10 or user_id is null").collect()} == {1: 6, 2: None, 3: None, 4: -4, None: 3}
+    assert compare.difference(got, duck, ORACLES["q18_interval_union_length"]) == ""
